@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, secret_scan, token_counts, url_filter
+from . import decontaminate, exact_dedup, language_id, secret_scan, token_counts, url_filter
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(docs, secret_scan.train(docs))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
@@ -30,5 +34,5 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op5_token_counts, op6_secret_scan, op8_url_filter, op9_exact_dedup)}
-ORACLES = {"op9_exact_dedup": exact_dedup.ORACLE}
+QUERIES = {f.__name__: f for f in (op3_language_id, op5_token_counts, op6_secret_scan, op7_decontaminate, op8_url_filter, op9_exact_dedup)}
+ORACLES = {"op7_decontaminate": decontaminate.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
