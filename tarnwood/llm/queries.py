@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language_id, secret_scan, token_counts, url_filter
+from . import decontaminate, exact_dedup, language_id, secret_scan, spm_lattice, token_counts, url_filter
 from .common import table
 
 
+def op1_spm_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spm_lattice.sample_encode(table(spark, sf_dir, "documents"), k=3, digest=True)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.predict(docs, language_id.train(docs))
@@ -34,5 +38,5 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op5_token_counts, op6_secret_scan, op7_decontaminate, op8_url_filter, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_spm_lattice, op3_language_id, op5_token_counts, op6_secret_scan, op7_decontaminate, op8_url_filter, op9_exact_dedup)}
 ORACLES = {"op7_decontaminate": decontaminate.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
