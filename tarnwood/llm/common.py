@@ -101,3 +101,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
         x = x * np.uint64(0x94D049BB133111EB)
         x ^= x >> np.uint64(31)
     return x
+
+
+def unstage(df: DataFrame) -> None:
+    """Remove a staged table that nothing reads any more."""
+    for f in df.inputFiles()[:1]:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

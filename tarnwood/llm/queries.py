@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language_id, secret_scan, spm_lattice, token_counts, url_filter
+from . import decontaminate, exact_dedup, fm_dedup, language_id, secret_scan, spm_lattice, suffix_dedup, token_counts, url_filter
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_spm_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm_lattice.sample_encode(table(spark, sf_dir, "documents"), k=3, digest=True)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.predict(docs, language_id.train(docs))
@@ -38,5 +42,9 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_spm_lattice, op3_language_id, op5_token_counts, op6_secret_scan, op7_decontaminate, op8_url_filter, op9_exact_dedup)}
+def op10_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_spm_lattice, op2_suffix_dedup, op3_language_id, op5_token_counts, op6_secret_scan, op7_decontaminate, op8_url_filter, op9_exact_dedup, op10_fm_dedup)}
 ORACLES = {"op7_decontaminate": decontaminate.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
