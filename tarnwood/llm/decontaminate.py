@@ -109,6 +109,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 8, least_items
     return rows.join(length, "doc").join(told, "doc", "left").select("doc_id", "n_words", zero("n_hit"), zero("n_items"), F.sha2(F.coalesce("item_list", F.lit("")), 256).alias("items_sha256"), F.coalesce(F.col("n_items") >= least_items, F.lit(False)).alias("contaminated"))
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that are not contaminated, with all their columns."""
+    gone = small_side(decontaminate(docs, items, id_col=id_col, text_col=text_col).filter("contaminated").select(F.col("doc_id").alias("_gone")).distinct(), "contaminated")
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+
+
 ORACLE = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),

@@ -41,11 +41,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
+    """The rows of docs that stay, with all their columns. Rows that repeat id and text are one row and stay together."""
     from .common import small_side
 
-    gone = small_side(exact_dedup(docs, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "copies")
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    gone = exact_dedup(docs, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    gone = small_side(gone, "copies")
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]) & (F.sha2(normalised(docs[text_col]), 256) == gone["_sha"]), "left_anti")
 
 
 ORACLE = r"""

@@ -131,25 +131,41 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
+def _predicted(m: PPM, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score and bits per byte of each text."""
+    raw, ends = utf8(column)
+    n, langs = np.diff(ends), np.array([*m.langs, UND])
+    letters = np.array([t is not None and has_letter(t) for t in column.to_pylist()], bool)
+    if m.langs:
+        bits = m.code_lengths(raw, ends)
+        best = bits.argmin(1)
+        least = bits[np.arange(len(best)), best]
+        score = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1)
+        per = least / np.maximum(n, 1)
+    else:
+        best, score, per, letters = np.zeros(len(n), int), np.zeros(len(n)), np.zeros(len(n)), letters & False
+    return langs[np.where(letters, best, len(langs) - 1)], np.where(letters, score, 0.0), per
+
+
 def predict(docs: DataFrame, model: PPM, text_col: str = "text", batch_bytes: int = 1 << 19) -> DataFrame:
     """doc_id, held_out, lang_pred, score (posterior of the prediction under equal priors), bits_per_byte."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        m = shared.value
         for batch in batches_by_bytes(batches, "text", batch_bytes):
-            raw, ends = utf8(batch.column(2))
-            n, langs = np.diff(ends), np.array([*m.langs, UND])
-            letters = np.array([t is not None and has_letter(t) for t in batch.column(2).to_pylist()], bool)
-            if m.langs:
-                bits = m.code_lengths(raw, ends)
-                best = bits.argmin(1)
-                least = bits[np.arange(len(best)), best]
-                score = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1)
-                per = least / np.maximum(n, 1)
-            else:
-                best, score, per, letters = np.zeros(len(n), int), np.zeros(len(n)), np.zeros(len(n)), letters & False
-            best, score = np.where(letters, best, len(langs) - 1), np.where(letters, score, 0.0)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(langs[best], pa.string()), pa.array(score), pa.array(per)], names=["doc_id", "held_out", "lang_pred", "score", "bits_per_byte"])
+            lang, score, per = _predicted(shared.value, batch.column(2))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score), pa.array(per)], names=["doc_id", "held_out", "lang_pred", "score", "bits_per_byte"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+
+
+def keep_known(docs: DataFrame, model: PPM, text_col: str = "text", batch_bytes: int = 1 << 19) -> DataFrame:
+    """The rows of docs, with all their columns, whose predicted language is not und."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches_by_bytes(batches, text_col, batch_bytes):
+            lang, _, _ = _predicted(shared.value, batch.column(at))
+            yield batch.filter(pa.array(lang != UND, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

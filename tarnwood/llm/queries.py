@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, fm_dedup, language_id, secret_scan, spm_lattice, suffix_dedup, token_counts, url_filter
+from . import decontaminate, exact_dedup, fm_dedup, language_id, near_dedup, secret_scan, spm_lattice, suffix_dedup, token_counts, url_filter
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, language_id.train(docs))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -46,5 +50,5 @@ def op10_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_spm_lattice, op2_suffix_dedup, op3_language_id, op5_token_counts, op6_secret_scan, op7_decontaminate, op8_url_filter, op9_exact_dedup, op10_fm_dedup)}
+QUERIES = {f.__name__: f for f in (op1_spm_lattice, op2_suffix_dedup, op3_language_id, op4_near_dedup, op5_token_counts, op6_secret_scan, op7_decontaminate, op8_url_filter, op9_exact_dedup, op10_fm_dedup)}
 ORACLES = {"op7_decontaminate": decontaminate.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
