@@ -58,7 +58,7 @@ def covered_spans(rows: DataFrame, ids: DataFrame, index: Index, width: int = 50
     spark = rows.sparkSession
     least = ids.groupBy("sha").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sha", "least")
     copies = small_side(ids.join(least, "sha").filter("doc > least").select("key").distinct(), "copies")
-    single = rows.select("doc", "key", "text").join(copies, "key", "left_anti")  # a repeated row is cut twice, alike
+    single = rows.join(copies, "key", "left_anti").select("doc", "key", "text")  # a repeated row is cut twice, alike
 
     def anchors(batches):
         for batch in batches_by_bytes(batches, "text", 1 << 20):
