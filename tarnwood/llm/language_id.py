@@ -38,6 +38,8 @@ class PPM:
 
     def __init__(self, samples: dict[str, list[bytes]], order: int = 3):
         self.langs, self.order = sorted(samples), order
+        if not samples:
+            return
         texts = [b"".join(b"\n" + t for t in samples[x]) for x in self.langs]
         seen = np.zeros(256, bool)
         for t in texts:

@@ -289,7 +289,7 @@ def sample_batch(m: Model, keys: np.ndarray, texts: list[str], k: int, alpha: fl
         logq = words.log_share[e]
         run = np.cumsum(logq)
         head = np.searchsorted(path, row_start)
-        base = np.where(head > 0, run[np.maximum(head - 1, 0)], 0.0)
+        base = np.append(0.0, run)[head]
         total = np.zeros(rows)
         total += np.bincount(erow, logq, rows)
         before = run - logq - base[erow]
