@@ -44,15 +44,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 class Markov:
-    """Order-2 character model with add-half smoothing over the token alphabet."""
+    """Order-2 character model; counts of a context are joined with `weight` times the next shorter context's distribution."""
 
-    def __init__(self, samples: list[str]):
+    def __init__(self, samples: list[str], weight: float = 2.0):
         n = len(_ALPHABET) + 1
-        counts = np.full((n, n, n), 0.5)
+        counts = np.zeros((n, n, n))
         for s in samples:
             c = encode(s)
             np.add.at(counts, (c[:-2], c[1:-1], c[2:]), 1)
-        self.log = np.log(counts[:, :, 1:] / counts[:, :, 1:].sum(2, keepdims=True))
+        two, one, none = counts[:, :, 1:], counts.sum(0)[:, 1:], counts.sum((0, 1))[1:]
+        p0 = (none + 0.5) / (none + 0.5).sum()
+        p1 = (one + weight * p0) / (one.sum(1, keepdims=True) + weight)
+        self.log = np.log((two + weight * p1) / (two.sum(2, keepdims=True) + weight))
 
     def score(self, c: np.ndarray) -> float:
         return float(self.log[c[:-2], c[1:-1], c[2:] - 1].sum())
