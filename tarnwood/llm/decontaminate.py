@@ -4,8 +4,8 @@ The training texts are tokenised once; every posting (term, document, position)
 stored as a table in the shared folder, with one end posting per document that carries its length. Test items become
 windows of `width` consecutive words. For each window the posting lists are taken in the order of their length: the
 rarest term's list, moved by the term's offset in the window, gives candidate starts; the second rarest term's moved list
-is intersected with them; what is left is intersected with the remaining lists. A start that is in all lists is an exact
-phrase match. proximity() asks instead for all terms within a span, in any order. Only DataFrame operations are used.
+is intersected with them; what is left is intersected with the remaining lists, read for the documents that are left. A
+start that is in all lists is an exact phrase match. proximity() asks instead for all terms within a span, in any order. Only DataFrame operations are used.
 
 Sizes: vocabulary, windows and candidates are broadcast only after they were counted (common.small_side), else joined by
 shuffle on (doc, position, term), keys that no single word dominates. Word frequencies are summed before the shuffle.
@@ -60,26 +60,36 @@ def build_index(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str)
 
 def ranked_windows(windows: DataFrame, vocab: DataFrame, postings: DataFrame) -> DataFrame:
     """(win, n, parts): each different window once, its (uses, off, term) from the rarest term on; none if a term never occurs."""
+    from pyspark.sql import Window
+
     uses = postings.groupBy("term").agg(F.count(F.lit(1)).alias("uses"))
     terms = small_side(vocab.join(uses, "term").filter(F.col("term") != END), "uses")
     spread = windows.select("win").distinct().select("win", F.posexplode("win").alias("off", "word")).join(terms, "word")
     ranked = spread.groupBy("win").agg(F.array_sort(F.collect_list(F.struct("uses", "off", "term"))).alias("parts"))
-    return ranked.filter(F.size("parts") == F.size("win")).select("win", F.size("win").alias("n"), "parts", F.xxhash64(F.array_join("win", " ")).alias("wid"))
+    ranked = ranked.filter(F.size("parts") == F.size("win"))  # each of the item's terms occurs
+    return ranked.select("win", F.size("win").alias("n"), "parts", F.row_number().over(Window.orderBy("win")).alias("wid"))
 
 
 def phrase_matches(postings: DataFrame, ranked: DataFrame) -> DataFrame:
     """(doc, start, n, wid) of every exact occurrence of a window."""
-    part = lambda i, x: F.col("parts")[i][x]
-    first = postings.join(small_side(ranked.select(part(0, "term").alias("term"), part(0, "off").alias("off"), "n", "wid", F.slice("parts", 2, 1 << 20).alias("rest")), "windows"), "term")
-    starts = first.select("doc", (F.col("pos") - F.col("off")).alias("start"), "n", "wid", "rest").filter("start >= 0")
+
+    def part(i: int, name: str) -> DataFrame:
+        """The i-th rarest term of each window that has one."""
+        return small_side(ranked.filter(F.size("parts") > i).select(F.col("parts")[i]["term"].alias("term"), F.col("parts")[i]["off"].alias("off"), "n", "wid"), name)
+
+    starts = postings.join(part(0, "rarest"), "term").select("doc", (F.col("pos") - F.col("off")).alias("start"), "n", "wid").filter("start >= 0")
     starts = stage(starts, "candidates")
-    single, more = starts.filter("size(rest) = 0"), starts.filter("size(rest) > 0")
-    need = small_side(more.select("doc", (F.col("start") + F.col("rest")[0]["off"]).alias("pos"), F.col("rest")[0]["term"].alias("term"), "start", "n", "wid", F.slice("rest", 2, 1 << 20).alias("rest")), "second")
-    second = stage(postings.join(need, ["doc", "pos", "term"]).select("doc", "start", "n", "wid", "rest").distinct(), "survivors")
-    need = small_side(second.filter("size(rest) > 0").select("doc", "start", "n", "wid", F.explode("rest").alias("p")).select("doc", (F.col("start") + F.col("p.off")).alias("pos"), F.col("p.term").alias("term"), "start", "n", "wid"), "others")
-    full = postings.join(need, ["doc", "pos", "term"]).groupBy("doc", "start", "n", "wid").agg(F.count_distinct("pos").alias("found")).filter("found = n - 2")
+    second = part(1, "second")
+    need = starts.drop("n").join(second.drop("n"), "wid").select("doc", (F.col("start") + F.col("off")).alias("pos"), "term", "start", "wid")
+    lists = postings.join(small_side(second.select("term").distinct(), "terms"), "term", "left_semi")
+    found = stage(lists.join(need, ["doc", "pos", "term"]).select("doc", "start", "wid").distinct(), "survivors")
+    rest = small_side(ranked.select("n", "wid", F.explode(F.slice("parts", 3, 1 << 20)).alias("p")).select("n", "wid", "p.off", "p.term"), "others")
+    need = found.join(rest, "wid").select("doc", (F.col("start") + F.col("off")).alias("pos"), "term", "start", "n", "wid")
+    lists = postings.join(small_side(found.select("doc").distinct(), "documents"), "doc", "left_semi")
+    full = lists.join(need, ["doc", "pos", "term"]).groupBy("doc", "start", "n", "wid").agg(F.count_distinct("pos").alias("found")).filter("found = n - 2")
     keep = ["doc", "start", "n", "wid"]
-    return full.select(keep).unionByName(second.filter("size(rest) = 0").select(keep)).unionByName(single.select(keep).distinct())
+    two = found.join(small_side(ranked.filter("n = 2").select("n", "wid"), "pairs"), "wid").select(keep)
+    return full.select(keep).unionByName(two).unionByName(starts.filter("n = 1").select(keep).distinct())
 
 
 def proximity(postings: DataFrame, ranked: DataFrame, span: int) -> DataFrame:

@@ -61,7 +61,7 @@ def covered_spans(rows: DataFrame, ids: DataFrame, index: Index, width: int = 50
     single = rows.join(copies, "key", "left_anti").select("doc", "key", "text")  # a repeated row is cut twice, alike
 
     def anchors(batches):
-        for batch in batches_by_bytes(batches, "text", 1 << 20):
+        for batch in batches_by_bytes(batches, "text", 1 << 19):
             raw, ends = utf8(batch.column(2))
             sym, ends, _, _ = _symbols(raw, ends, unit)
             row, first, count, h, _ = pieces(sym, ends, width, k)
@@ -70,12 +70,14 @@ def covered_spans(rows: DataFrame, ids: DataFrame, index: Index, width: int = 50
             yield pa.record_batch([pa.array(h.view(np.int64)), batch.column(0).take(ids), batch.column(1).take(ids), pa.array(at)], names=["h", "doc", "key", "at"])
 
     found = stage(single.mapInArrow(anchors, "h long, doc long, key long, at long"), "anchors")
-    again = found.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("h")
+    # staged by itself: its shuffle files go before the join needs room, and Spark can split the join where a hash is hot
+    again = stage(found.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("h"), "again")
     places = stage(found.join(again.hint("shuffle_hash"), "h").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("at", "h"))).alias("places")), "places")
     unstage(found)
+    unstage(again)
 
     def cut(batches):
-        for batch in batches_by_bytes(batches, "text", 1 << 20):
+        for batch in batches_by_bytes(batches, "text", 1 << 19):
             raw, ends = utf8(batch.column(2))
             _, soff, start, stop = _symbols(raw, ends, unit)
             lists = batch.column(3)

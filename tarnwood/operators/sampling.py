@@ -22,7 +22,7 @@ def batches(df: DataFrame, order: list[str], size: int) -> DataFrame:
 def first_per_class(df: DataFrame, cls: str, order: list[str], n: int = 200) -> DataFrame:
     """Add pos (from 0); the first n rows of each class, cut before the shuffle by Spark's group limit."""
     w = Window.partitionBy(cls).orderBy(*order)
-    return df.withColumn("pos", F.row_number().over(w) - 1).filter(F.col("pos") < n)
+    return df.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= n).withColumn("pos", F.col("pos") - 1)
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
