@@ -9,9 +9,12 @@ without a dart are rare and filled by doubling theta for that document. The work
 
 Signatures are cut into bands; documents that agree in a band share a bucket. Links are found exactly, without all
 pairs of a bucket: first every member is compared with the bucket's least document, and linked documents are joined to
-classes. While a bucket holds more than one class, its first members of the smallest classes are compared with all members of
-other classes and then leave the bucket, so every two members of a bucket were compared or are connected in the end.
-Comparing means the exact similarity of the two sets, computed by Spark from arrays that only candidates have.
+classes. Buckets of more than one class go on. Elements that no other of their documents has bound a document's similarity to all
+of them; those below the threshold are done. Then the members with the smallest share of such elements are compared with
+the members of other classes where the bounds of both allow a link, and leave the bucket; their number grows by 8 a round, so
+the rounds are logarithmic in a bucket's size. In the end every two members of a bucket were compared, cannot be linked,
+or are connected. Comparing means the exact similarity of the two sets, computed by Spark from arrays that only
+candidates have.
 
 Exact copies (equal words) are one document with a count throughout. Classes are found by least labels with pointer
 jumping over staged tables; nothing of the corpus is sent to the driver.
@@ -26,7 +29,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, batches_by_bytes, mix64, small_side, stage, utf8
@@ -159,38 +162,53 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("key", "label")
 
 
-def links_of(buckets: DataFrame, size: DataFrame, sets: DataFrame, threshold: float, stars: int = 8) -> tuple[DataFrame | None, DataFrame | None]:
-    """buckets: (bucket, key) with two members or more. Returns links (a, b) and classes (key, label)."""
-    n_a, n_b = size.select(F.col("key").alias("a"), F.col("n").alias("na")), size.select(F.col("key").alias("b"), F.col("n").alias("nb"))
-
-    def compare(pairs: DataFrame, done: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = stage(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        fit = pairs.join(n_a, "a").join(n_b, "b").filter(F.least("na", "nb") >= threshold * F.greatest("na", "nb")).select("a", "b")
-        return pairs, stage(verified(fit, sets, threshold), "links")
-
-    least = buckets.groupBy("bucket").agg(F.min("key").alias("a"))
-    done, links = compare(buckets.join(least, "bucket").filter("key <> a").select("a", F.col("key").alias("b")), None)
-    while True:
-        classes = components(links)
-        held = buckets.join(classes, "key", "left").select("bucket", "key", F.coalesce("label", "key").alias("label"))
-        mixed = held.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("bucket")
-        held = stage(held.join(mixed, "bucket"), "mixed")
-        if held.isEmpty():
-            return links, classes
-        count = held.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"))
-        from pyspark.sql import Window
-
-        turn = Window.partitionBy("bucket").orderBy("size", "label", "key")
-        heads = stage(held.join(count, ["bucket", "label"]).withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= stars).select("bucket", F.col("key").alias("a"), F.col("label").alias("la")), "heads")
-        pairs = held.join(heads, "bucket").filter("label <> la").select("a", F.col("key").alias("b"))
-        new, found = compare(pairs, done)
-        done, links = done.unionAll(new), links.unionAll(found)
-        buckets = stage(held.select("bucket", "key").join(heads.select("bucket", F.col("a").alias("key")), ["bucket", "key"], "left_anti"), "buckets")
+def _mixed(held: DataFrame, name: str) -> DataFrame:
+    """Rows of the buckets whose members are of more than one class."""
+    several = held.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("bucket")
+    return stage(held.join(several, "bucket"), name)
+
+
+def links_of(buckets: DataFrame, signed: DataFrame, sets: DataFrame, threshold: float, stars: int = 8) -> tuple[DataFrame, DataFrame]:
+    """buckets: (bucket, key, n) with two members or more. Returns links (a, b) and classes (key, label)."""
+    least = buckets.groupBy("bucket").agg(F.min(F.struct("key", "n")).alias("f")).select("bucket", F.col("f.key").alias("a"), F.col("f.n").alias("na"))
+    rest = stage(buckets.join(least, "bucket").filter("key <> a"), "rest")
+    fit = F.least("n", "na") >= threshold * F.greatest("n", "na")
+    links = stage(verified(rest.filter(fit).select("a", F.col("key").alias("b")).distinct(), sets, threshold), "links")
+    classes = components(links)
+    held = _mixed(rest.join(classes, "key", "left").select("bucket", "key", "n", F.coalesce("label", "key").alias("label")), "mixed")
+    if held.isEmpty():
+        return links, classes
+    # What no other of these documents has cannot be common, and is in every union.
+    elems = sets.join(held.select("key").distinct(), "key", "left_semi").select("key", F.explode("elems").alias("e"))
+    own = elems.groupBy("e").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("c")).filter("c = 1").groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("own"))
+    held = held.join(own, "key", "left").withColumn("own", F.coalesce("own", F.lit(0))).filter(F.col("n") - F.col("own") >= threshold * F.col("n"))
+    held = _mixed(held.join(signed.select("key", "bands").dropDuplicates(["key"]), "key").withColumn("place", F.struct((F.col("own") / F.col("n")).alias("r"), "key")), "mixed")
+    more = []
+    while not held.isEmpty():
+        turn = Window.partitionBy("bucket").orderBy("place")
+        heads = stage(held.withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= stars).drop("turn"), "heads")
+        h = heads.select("bucket", *(F.col(c).alias(f"h_{c}") for c in ("key", "n", "own", "label", "bands", "place")))
+        shared = F.least(F.col("n") - F.col("own"), F.col("h_n") - F.col("h_own"))
+        union = F.greatest(F.col("n") + F.col("h_own"), F.col("h_n") + F.col("own"))
+        meet = (held["bucket"] == h["bucket"]) & (F.col("place") > F.col("h_place")) & (F.col("label") != F.col("h_label")) & (shared >= threshold * union) & (F.array_min(F.array_intersect("bands", "h_bands")) == held["bucket"])
+        found = stage(verified(held.join(h, meet).select(F.least("key", "h_key").alias("a"), F.greatest("key", "h_key").alias("b")), sets, threshold), "links")
+        held = held.join(heads.select("bucket", "key"), ["bucket", "key"], "left_anti")
+        if not found.isEmpty():
+            more.append(found)
+            names = held.select("key", "label").unionAll(heads.select("key", "label")).distinct()
+            between = found.join(names.select(F.col("key").alias("a"), F.col("label").alias("la")), "a").join(names.select(F.col("key").alias("b"), F.col("label").alias("lb")), "b")
+            new = components(between.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("key").alias("label"), F.col("label").alias("new"))
+            held = held.join(new, "label", "left").withColumn("label", F.coalesce("new", "label")).drop("new")
+        held = _mixed(held, "mixed")
+        stars *= 8
+    for found in more:
+        links = links.unionAll(found)
+    return links, components(links) if more else classes
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 20, per_band: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, class_id (least doc_id of the class), class_size (rows), n_links (of the row's text to different texts), kept.
+    """Per row: doc_id, class_id (least doc_id of the class), class_size (rows), n_links (links found from the row's text to different
+    texts; two texts that are already of one class are not compared), kept.
 
     A pair of similarity s shares a bucket with probability 1 - (1 - s**per_band)**bands: 0.9996 at 0.8."""
     text = F.btrim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE, " "), F.lit(" "))
@@ -199,12 +217,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 20, pe
     copies = small_side(ids.join(first.filter("n > 1").select("sha", "rep"), "sha").filter("key <> rep").select("key").distinct(), "copies")
     single = rows.select("key", "text").join(copies, "key", "left_anti")
     signed = stage(_signed(single, bands, per_band), "signatures")
-    exploded = signed.select("key", F.explode("bands").alias("bucket"))
+    exploded = signed.select("key", "n", F.explode("bands").alias("bucket"))
     shared = exploded.groupBy("bucket").agg(F.min("key").alias("x"), F.max("key").alias("y")).filter("x <> y").select("bucket")
-    buckets = stage(exploded.join(shared, "bucket").select("bucket", "key").distinct(), "buckets")
+    buckets = stage(exploded.join(shared, "bucket").select("bucket", "key", "n").distinct(), "buckets")
     wanted = small_side(buckets.select("key").distinct(), "wanted")
     sets = stage(_sets(single.join(wanted, "key", "left_semi")).dropDuplicates(["key"]), "sets")
-    links, classes = links_of(buckets, signed.select("key", "n").dropDuplicates(["key"]), sets, threshold)
+    links, classes = links_of(buckets, signed, sets, threshold)
     degree = links.select(F.col("a").alias("rep")).unionAll(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     texts = first.join(classes.select(F.col("key").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     named = texts.groupBy("label").agg(F.min("doc").alias("class_id"), F.sum("n").alias("class_size"))
