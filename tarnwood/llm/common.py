@@ -38,11 +38,13 @@ def _remove(path: str) -> None:
     shutil.rmtree(path, ignore_errors=True)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here and a lost executor costs no recomputation.
 
-    Shuffle files of the write go when it ends, since nothing reads them again."""
+    Shuffle files of the write go when it ends, since nothing reads them again. parts: most tasks that write, for a table
+    whose size is known."""
     spark = df.sparkSession
+    df = df.coalesce(parts) if parts else df
     path = f"{shared_dir(spark)}/tarnwood-{uuid.uuid4().hex}/{name}"
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, "false")

@@ -32,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, batches_by_bytes, mix64, small_side, stage, utf8
+from .common import BROADCAST_ROWS, SPACE, batches_by_bytes, mix64, small_side, stage, utf8
 from .earlier_windows import _NO_ID, keyed
 from .windows import gram_hashes, word_symbols
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
+#: Rows of a few numbers, and pairs of sets, that one task may hold where a table's size is known.
+_ROWS, _PAIRS = 200_000, 4_000
 #: Poisson(1): chance of at most 0, 1, 2 ... darts in a unit cell.
 _UPTO = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(18)])
 
@@ -141,31 +143,35 @@ def _sets(rows: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """pairs (a, b): those of similarity `threshold` or more."""
+    """pairs (a, b): those of similarity `threshold` or more, as a staged table."""
+    pairs = stage(pairs, "pairs")
+    n = pairs.count()
+    pairs = F.broadcast(pairs) if n <= BROADCAST_ROWS else pairs
     one = pairs.join(sets.select(F.col("key").alias("b"), F.col("elems").alias("eb")), "b")
     both = one.join(sets.select(F.col("key").alias("a"), F.col("elems").alias("ea")), "a")
     common = F.size(F.array_intersect("ea", "eb"))
-    return both.filter(common >= threshold * (F.size("ea") + F.size("eb") - common)).select("a", "b")
+    return stage(both.filter(common >= threshold * (F.size("ea") + F.size("eb") - common)).select("a", "b"), "links", 1 + n // _PAIRS)
 
 
 def components(links: DataFrame) -> DataFrame:
     """(key, label): least key of each connected part, by least labels of neighbours and pointer jumping."""
-    edges = stage(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = stage(edges.groupBy(F.col("a").alias("key")).agg(F.least(F.col("key"), F.min("b")).alias("label")), "labels")
+    parts = 1 + links.count() // _ROWS  # tables as small as these need few tasks
+    edges = stage(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", parts)
+    labels = stage(edges.groupBy(F.col("a").alias("key")).agg(F.least(F.col("key"), F.min("b")).alias("label")), "labels", parts)
     while True:
         near = edges.join(labels.select(F.col("key").alias("b"), "label"), "b").groupBy(F.col("a").alias("key")).agg(F.min("label").alias("near"))
         low = labels.join(near, "key").select("key", "label", F.least("label", "near").alias("low"))
         jump = labels.select(F.col("key").alias("low"), F.col("label").alias("far"))
-        new = stage(low.join(jump, "low", "left").select("key", F.col("label").alias("old"), F.least("low", F.coalesce("far", "low")).alias("label")), "labels")
+        new = stage(low.join(jump, "low", "left").select("key", F.col("label").alias("old"), F.least("low", F.coalesce("far", "low")).alias("label")), "labels", parts)
         if new.filter("old <> label").isEmpty():
             return new.select("key", "label")
         labels = new.select("key", "label")
 
 
-def _mixed(held: DataFrame, name: str) -> DataFrame:
-    """Rows of the buckets whose members are of more than one class."""
+def _mixed(held: DataFrame, parts: int) -> DataFrame:
+    """Rows of the buckets whose members are of more than one class; parts: tasks that write them."""
     several = held.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("bucket")
-    return stage(held.join(several, "bucket"), name)
+    return stage(held.join(several, "bucket"), "mixed", parts)
 
 
 def links_of(buckets: DataFrame, signed: DataFrame, sets: DataFrame, threshold: float, stars: int = 8) -> tuple[DataFrame, DataFrame]:
@@ -173,33 +179,34 @@ def links_of(buckets: DataFrame, signed: DataFrame, sets: DataFrame, threshold:
     least = buckets.groupBy("bucket").agg(F.min(F.struct("key", "n")).alias("f")).select("bucket", F.col("f.key").alias("a"), F.col("f.n").alias("na"))
     rest = stage(buckets.join(least, "bucket").filter("key <> a"), "rest")
     fit = F.least("n", "na") >= threshold * F.greatest("n", "na")
-    links = stage(verified(rest.filter(fit).select("a", F.col("key").alias("b")).distinct(), sets, threshold), "links")
+    links = verified(rest.filter(fit).select("a", F.col("key").alias("b")).distinct(), sets, threshold)
     classes = components(links)
-    held = _mixed(rest.join(classes, "key", "left").select("bucket", "key", "n", F.coalesce("label", "key").alias("label")), "mixed")
+    held = _mixed(rest.join(classes, "key", "left").select("bucket", "key", "n", F.coalesce("label", "key").alias("label")), 1 + rest.count() // _ROWS)
     if held.isEmpty():
         return links, classes
     # What no other of these documents has cannot be common, and is in every union.
     elems = sets.join(held.select("key").distinct(), "key", "left_semi").select("key", F.explode("elems").alias("e"))
     own = elems.groupBy("e").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("c")).filter("c = 1").groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("own"))
-    held = held.join(own, "key", "left").withColumn("own", F.coalesce("own", F.lit(0))).filter(F.col("n") - F.col("own") >= threshold * F.col("n"))
-    held = _mixed(held.join(signed.select("key", "bands").dropDuplicates(["key"]), "key").withColumn("place", F.struct((F.col("own") / F.col("n")).alias("r"), "key")), "mixed")
+    wide = held.join(own, "key", "left").withColumn("own", F.coalesce("own", F.lit(0))).filter(F.col("n") - F.col("own") >= threshold * F.col("n"))
+    held = _mixed(wide.join(signed.select("key", "bands").dropDuplicates(["key"]), "key").withColumn("place", F.struct((F.col("own") / F.col("n")).alias("r"), "key")), 1 + held.count() // (_ROWS // 10))
     more = []
     while not held.isEmpty():
-        turn = Window.partitionBy("bucket").orderBy("place")
-        heads = stage(held.withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= stars).drop("turn"), "heads")
+        turn, parts = Window.partitionBy("bucket").orderBy("place"), 1 + held.count() // (_ROWS // 10)
+        heads = stage(held.withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= stars).drop("turn"), "heads", parts)
         h = heads.select("bucket", *(F.col(c).alias(f"h_{c}") for c in ("key", "n", "own", "label", "bands", "place")))
         shared = F.least(F.col("n") - F.col("own"), F.col("h_n") - F.col("h_own"))
         union = F.greatest(F.col("n") + F.col("h_own"), F.col("h_n") + F.col("own"))
         meet = (held["bucket"] == h["bucket"]) & (F.col("place") > F.col("h_place")) & (F.col("label") != F.col("h_label")) & (shared >= threshold * union) & (F.array_min(F.array_intersect("bands", "h_bands")) == held["bucket"])
-        found = stage(verified(held.join(h, meet).select(F.least("key", "h_key").alias("a"), F.greatest("key", "h_key").alias("b")), sets, threshold), "links")
+        found = verified(held.join(h, meet).select(F.least("key", "h_key").alias("a"), F.greatest("key", "h_key").alias("b")), sets, threshold)
         held = held.join(heads.select("bucket", "key"), ["bucket", "key"], "left_anti")
         if not found.isEmpty():
             more.append(found)
             names = held.select("key", "label").unionAll(heads.select("key", "label")).distinct()
+            found = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
             between = found.join(names.select(F.col("key").alias("a"), F.col("label").alias("la")), "a").join(names.select(F.col("key").alias("b"), F.col("label").alias("lb")), "b")
             new = components(between.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("key").alias("label"), F.col("label").alias("new"))
             held = held.join(new, "label", "left").withColumn("label", F.coalesce("new", "label")).drop("new")
-        held = _mixed(held, "mixed")
+        held = _mixed(held, parts)
         stars *= 8
     for found in more:
         links = links.unionAll(found)
