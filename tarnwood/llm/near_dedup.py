@@ -10,7 +10,7 @@ without a dart are rare and filled by doubling theta for that document. The work
 Signatures are cut into bands; documents that agree in a band share a bucket. Links are found exactly, without all
 pairs of a bucket: first every member is compared with the bucket's least document, and linked documents are joined to
 classes. Buckets of more than one class go on. Elements that no other of their documents has bound a document's similarity to all
-of them; those below the threshold are done. Then the members with the smallest share of such elements are compared with
+of them; those below the threshold are done. Counts of elements by class of hash bound the similarity of two. Then the members with the smallest share of such elements are compared with
 the members of other classes where the bounds of both allow a link, and leave the bucket; their number grows by 8 a round, so
 the rounds are logarithmic in a bucket's size. In the end every two members of a bucket were compared, cannot be linked,
 or are connected. Comparing means the exact similarity of the two sets, computed by Spark from arrays that only
@@ -39,6 +39,8 @@ from .windows import gram_hashes, word_symbols
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: Rows of a few numbers, and pairs of sets, that one task may hold where a table's size is known.
 _ROWS, _PAIRS = 200_000, 4_000
+#: Classes of hashes by which two sets are told apart before they are compared.
+_CLASSES = 64
 #: Poisson(1): chance of at most 0, 1, 2 ... darts in a unit cell.
 _UPTO = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(18)])
 
@@ -133,13 +135,18 @@ def _signed(rows: DataFrame, bands: int, per_band: int) -> DataFrame:
 
 
 def _sets(rows: DataFrame) -> DataFrame:
+    """(key, elems, profile): the hashed set, and how many of its elements fall into each of _CLASSES classes of hashes."""
+
     def run(batches):
         for batch in batches_by_bytes(batches, "text", 1 << 20):
             raw, ends = utf8(batch.column(1))
             elems, off = elements(raw, ends)
-            yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(elems.view(np.int64)))], names=["key", "elems"])
+            row = np.repeat(np.arange(batch.num_rows), np.diff(off))
+            profile = np.bincount(row * _CLASSES + (elems % np.uint64(_CLASSES)).astype(np.int64), minlength=batch.num_rows * _CLASSES).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(elems.view(np.int64))), pa.ListArray.from_arrays(pa.array((np.arange(batch.num_rows + 1) * _CLASSES).astype(np.int32)), pa.array(profile))]
+            yield pa.record_batch([batch.column(0), *lists], names=["key", "elems", "profile"])
 
-    return rows.select("key", "text").mapInArrow(run, "key long, elems array<long>")
+    return rows.select("key", "text").mapInArrow(run, "key long, elems array<long>, profile array<int>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -188,15 +195,18 @@ def links_of(buckets: DataFrame, signed: DataFrame, sets: DataFrame, threshold:
     elems = sets.join(held.select("key").distinct(), "key", "left_semi").select("key", F.explode("elems").alias("e"))
     own = elems.groupBy("e").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("c")).filter("c = 1").groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("own"))
     wide = held.join(own, "key", "left").withColumn("own", F.coalesce("own", F.lit(0))).filter(F.col("n") - F.col("own") >= threshold * F.col("n"))
-    held = _mixed(wide.join(signed.select("key", "bands").dropDuplicates(["key"]), "key").withColumn("place", F.struct((F.col("own") / F.col("n")).alias("r"), "key")), 1 + held.count() // (_ROWS // 10))
+    about = signed.select("key", "bands").dropDuplicates(["key"]).join(sets.select("key", "profile"), "key")
+    held = _mixed(wide.join(about, "key").withColumn("place", F.struct((F.col("own") / F.col("n")).alias("r"), "key")), 1 + held.count() // (_ROWS // 10))
     more = []
     while not held.isEmpty():
         turn, parts = Window.partitionBy("bucket").orderBy("place"), 1 + held.count() // (_ROWS // 10)
         heads = stage(held.withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= stars).drop("turn"), "heads", parts)
-        h = heads.select("bucket", *(F.col(c).alias(f"h_{c}") for c in ("key", "n", "own", "label", "bands", "place")))
+        h = heads.select("bucket", *(F.col(c).alias(f"h_{c}") for c in ("key", "n", "own", "label", "bands", "place", "profile")))
         shared = F.least(F.col("n") - F.col("own"), F.col("h_n") - F.col("h_own"))
         union = F.greatest(F.col("n") + F.col("h_own"), F.col("h_n") + F.col("own"))
-        meet = (held["bucket"] == h["bucket"]) & (F.col("place") > F.col("h_place")) & (F.col("label") != F.col("h_label")) & (shared >= threshold * union) & (F.array_min(F.array_intersect("bands", "h_bands")) == held["bucket"])
+        apart = F.aggregate(F.zip_with("profile", "h_profile", lambda a, b: F.abs(a - b)), F.lit(0), lambda x, y: x + y)  # at most the elements that one set has alone
+        total = F.col("n") + F.col("h_n")
+        meet = (held["bucket"] == h["bucket"]) & (F.col("place") > F.col("h_place")) & (F.col("label") != F.col("h_label")) & (shared >= threshold * union) & (F.array_min(F.array_intersect("bands", "h_bands")) == held["bucket"]) & (total - apart >= threshold * (total + apart))
         found = verified(held.join(h, meet).select(F.least("key", "h_key").alias("a"), F.greatest("key", "h_key").alias("b")), sets, threshold)
         held = held.join(heads.select("bucket", "key"), ["bucket", "key"], "left_anti")
         if not found.isEmpty():
