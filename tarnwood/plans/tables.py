@@ -389,7 +389,7 @@ def pairwise_distance(spark, sf):
 def kmeans_tree_search(spark, sf):
     e = table(spark, sf, "embeddings")
     nodes, leaves = vectors.build_tree(e, "vec_id", "embedding", [6, 3])
-    return vectors.search_tree(e.filter("vec_id % 100 = 0"), nodes, leaves, "vec_id", "embedding", "vec_id", [3, 4], 10)
+    return vectors.search_tree_proven(e.filter("vec_id % 100 = 0"), nodes, leaves, "vec_id", "embedding", "vec_id", [3, 4], 10)
 
 
 @query()
