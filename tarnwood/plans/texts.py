@@ -102,12 +102,11 @@ def summary_textrank(spark, sf):
 
 @query()
 def summary_centres(spark, sf):
-    items = table(spark, sf, "benchmark")
-    t = text.tokens(items, "item_id")
+    t = _tokens(spark, sf)
     vocab = text.vocabulary(t, 2)
     vecs = vocab.select("word", F.transform(F.sequence(F.lit(1), F.lit(16)), lambda j: F.pmod(F.xxhash64("word", j), F.lit(1000)) / 1000.0).alias("vec"))
-    s = text.split_sentences(items, "item_id")
-    return text.centre_summary(text.sentence_vectors(s, ["item_id", "sent"], vecs), ["item_id", "sent"], 5)
+    s = text.split_sentences(table(spark, sf, "documents"))
+    return text.centre_summary(text.sentence_vectors(s, ["doc_id", "sent"], vecs), ["doc_id", "sent"], 5)
 
 
 @query("""
@@ -145,7 +144,7 @@ def seconds_to_time(spark, sf):
 def hmm_segmentation(spark, sf):
     """Train on the benchmark's words; cut every document's words joined without spaces."""
     lines = table(spark, sf, "benchmark").select(F.col("item_id").alias("line_no"), F.array_join(tf.words(F.col("text")), " ").alias("line"))
-    docs = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.array_join(tf.words(F.col("text")), "").alias("text"))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.array_join(tf.words(F.col("text")), "").alias("text"))
     return segment.cut(docs, segment.train(lines)).select("id", F.size("words").alias("n"))
 
 

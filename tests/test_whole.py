@@ -1,6 +1,10 @@
 """Queries that must do the whole job on the tables they are registered for."""
 
+import random
+
+from tarnwood.operators import segment
 from tarnwood.plans import texts
+from tarnwood.session import table
 
 SF = "/root/testdata/sf0.01"
 
@@ -9,3 +13,19 @@ def test_tree_search_recall_on_embeddings(spark):
     exact = {(r.q_id, r["rank"]): r.dist for r in texts.QUERIES["knn_exact"](spark, SF).collect()}
     got = {(r.q_id, r["rank"]): round(r.dist, 5) for r in texts.QUERIES["kmeans_tree_search"](spark, SF).collect()}
     assert got.keys() == exact.keys() and all(abs(got[x] - exact[x]) <= 2e-5 for x in exact)
+
+
+def test_every_document_is_cut_and_summarised(spark):
+    docs = table(spark, SF, "documents")
+    cut = texts.QUERIES["hmm_segmentation"](spark, SF)
+    assert sorted(r.id for r in cut.collect()) == sorted(r.doc_id for r in docs.select("doc_id").collect())
+    centres = texts.QUERIES["summary_centres"](spark, SF)
+    assert "doc_id" in centres.columns and centres.join(docs, "doc_id", "left_semi").count() == centres.count() > 0
+
+
+def test_texts_side_by_side_are_cut_as_one_by_one():
+    r = random.Random(3)
+    start, trans = {"B": 0.6, "S": 0.4}, {("B", "E"): 0.7, ("B", "M"): 0.3, ("M", "E"): 0.5, ("M", "M"): 0.5, ("E", "B"): 0.5, ("E", "S"): 0.5, ("S", "B"): 0.5, ("S", "S"): 0.5}
+    emit = {(s, c): r.random() for s in "BEMS" for c in "abcdef" if r.random() < 0.8}
+    lines = ["".join(r.choice("abcdefxy") for _ in range(r.randrange(1, 40))) for _ in range(200)]
+    assert segment.viterbi_all(lines, start, trans, emit) == [segment.viterbi(x, start, trans, emit) for x in lines]
