@@ -13,6 +13,9 @@ from tarnwood.functions.text import sentences, words
 
 SPECIAL = ["<pad>", "<s>", "</s>", "<unk>", "<mask>"]
 
+#: No cap on the vocabulary.
+_WHOLE = 2**31 - 1
+
 
 def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, pos, word)"""
@@ -198,7 +201,7 @@ def centre_summary(vecs: DataFrame, key: list[str], k: int, seed: int = 1) -> Da
     return model.transform(data).withColumnRenamed("prediction", "cluster").withColumn("dist", d).groupBy("cluster").agg(F.min(F.struct("dist", *key)).alias("m")).select("cluster", "m.*")
 
 
-def topics(toks: DataFrame, k: int = 4, id_col: str = "doc_id", seed: int = 1, vocab_size: int = 2000) -> DataFrame:
+def topics(toks: DataFrame, k: int = 4, id_col: str = "doc_id", seed: int = 1, vocab_size: int = _WHOLE) -> DataFrame:
     """(topic, word, weight) of LDA on tf-idf vectors."""
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import IDF, CountVectorizer
@@ -208,18 +211,20 @@ def topics(toks: DataFrame, k: int = 4, id_col: str = "doc_id", seed: int = 1, v
     tf = cv.transform(docs)
     data = IDF(inputCol="tf", outputCol="features").fit(tf).transform(tf)
     model = LDA(k=k, seed=seed, maxIter=5, optimizer="online").fit(data)
-    names = F.array(*map(F.lit, cv.vocabulary))
-    return model.describeTopics(10).select("topic", F.explode(F.arrays_zip("termIndices", "termWeights")).alias("t")).select("topic", F.element_at(names, F.col("t.termIndices") + 1).alias("word"), F.col("t.termWeights").alias("weight"))
+    told = model.describeTopics(10).collect()  # ten words a topic
+    return toks.sparkSession.createDataFrame([(r.topic, cv.vocabulary[i], float(w)) for r in told for i, w in zip(r.termIndices, r.termWeights)], "topic int, word string, weight double")
 
 
-def topic_strengths(toks: DataFrame, k: int = 4, id_col: str = "doc_id", vocab_size: int = 500) -> DataFrame:
+def topic_strengths(toks: DataFrame, k: int = 4, id_col: str = "doc_id", vocab_size: int = _WHOLE) -> DataFrame:
     """(topic, strength): singular values of the tf-idf matrix (latent semantic indexing)."""
     from pyspark.ml.feature import IDF, CountVectorizer
-    from pyspark.mllib.linalg import Vectors
     from pyspark.mllib.linalg.distributed import RowMatrix
+    from pyspark.mllib.util import MLUtils
 
     docs = toks.groupBy(id_col).agg(F.collect_list("word").alias("words"))
     tf = CountVectorizer(inputCol="words", outputCol="tf", vocabSize=vocab_size, minDF=2).fit(docs).transform(docs)
     data = IDF(inputCol="tf", outputCol="features").fit(tf).transform(tf)
-    svd = RowMatrix(data.select("features").rdd.map(lambda r: Vectors.fromML(r.features))).computeSVD(k)
+    sparse = MLUtils.convertVectorColumnsFromML(data.select("features"), "features").persist()  # each round of the SVD reads it
+    svd = RowMatrix(sparse).computeSVD(k)
+    sparse.unpersist()
     return toks.sparkSession.createDataFrame([(i, float(s)) for i, s in enumerate(svd.s.toArray())], "topic int, strength double")

@@ -2,7 +2,7 @@
 
 import random
 
-from tarnwood.operators import segment
+from tarnwood.operators import segment, text
 from tarnwood.plans import texts
 from tarnwood.session import table
 
@@ -29,3 +29,17 @@ def test_texts_side_by_side_are_cut_as_one_by_one():
     emit = {(s, c): r.random() for s in "BEMS" for c in "abcdef" if r.random() < 0.8}
     lines = ["".join(r.choice("abcdefxy") for _ in range(r.randrange(1, 40))) for _ in range(200)]
     assert segment.viterbi_all(lines, start, trans, emit) == [segment.viterbi(x, start, trans, emit) for x in lines]
+
+
+def test_topics_use_the_whole_vocabulary(spark):
+    import numpy as np
+
+    r = random.Random(5)
+    docs = [[f"w{j}" for j in r.sample(range(700), 12)] for _ in range(300)]
+    toks = spark.createDataFrame([(i, w) for i, d in enumerate(docs) for w in d], "doc_id long, word string")
+    vocab = sorted({w for d in docs for w in d if sum(w in x for x in docs) >= 2})
+    m = np.array([[float(d.count(w)) for w in vocab] for d in docs])
+    m *= np.log((len(docs) + 1) / ((m > 0).sum(0) + 1))
+    got = [x.strength for x in text.topic_strengths(toks).orderBy("topic").collect()]
+    assert len(vocab) > 500 and np.allclose(got, np.linalg.svd(m, compute_uv=False)[:4], rtol=1e-6)
+    assert {x.word for x in text.topics(toks).collect()} <= set(vocab)
