@@ -6,6 +6,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+#: Ids of one forward step.
+_TOKENS = 50_000
+
 
 def gelu(x):
     return 0.5 * x * (1 + np.tanh(np.sqrt(2 / np.pi) * (x + 0.044715 * x**3)))
@@ -86,13 +89,17 @@ def random_weights(vocab: int, width: int, length: int, classes: int, sizes=(2,
 
 
 def infer(df: DataFrame, forward, weights: dict, key: str, ids: str) -> DataFrame:
-    """(key, label, score): forward(ids matrix, weights) gives logits; ids are padded to one length. Weights are broadcast."""
+    """(key, label, score): forward(ids matrix, weights) gives logits. Rows of one length go
+    together, at most _TOKENS ids at a time. Weights are broadcast."""
     shared = df.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
         for pdf in batches:
-            if len(pdf):
-                p = softmax(forward(np.stack(pdf[ids].to_numpy()).astype(int), shared.value))
-                yield pd.DataFrame({key: pdf[key], "label": p.argmax(1).astype("int32"), "score": p.max(1)})
+            for n, same in pdf.groupby(pdf[ids].map(len)):
+                step = max(_TOKENS // max(n, 1), 1)
+                for i in range(0, len(same), step):
+                    some = same.iloc[i : i + step]
+                    p = softmax(forward(np.stack(some[ids].to_numpy()).astype(int), shared.value))
+                    yield pd.DataFrame({key: some[key], "label": p.argmax(1).astype("int32"), "score": p.max(1)})
 
     return df.select(key, ids).mapInPandas(run, f"{key} long, label int, score double")

@@ -185,8 +185,10 @@ for _k in learn.BAYES:
 @query()
 def cnn_inference(spark, sf):
     t = _tokens(spark, sf)
-    ids = text.encode(t, text.vocabulary(t)).select("doc_id", F.transform(arrays.pad(F.col("ids"), 32), lambda x: x % 500).alias("ids"))
-    return inference.infer(ids, inference.text_cnn, inference.random_weights(500, 16, 32, 15), "doc_id", "ids")
+    vocab = text.vocabulary(t)
+    ids = text.encode(t, vocab).select("doc_id", F.when(F.size("ids") < 32, arrays.pad(F.col("ids"), 32)).otherwise(F.col("ids")).alias("ids"))
+    rows = vocab.agg(F.max("id")).first()[0] + 1
+    return inference.infer(ids, inference.text_cnn, inference.random_weights(rows, 16, 32, 15), "doc_id", "ids")
 
 
 @query(f"WITH {_TOK}, n AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY doc_id) SELECT min(n) AS least, max(n) AS most FROM n")

@@ -2,7 +2,7 @@
 
 import random
 
-from tarnwood.operators import segment, text
+from tarnwood.operators import inference, segment, text
 from tarnwood.plans import texts
 from tarnwood.session import table
 
@@ -43,3 +43,14 @@ def test_topics_use_the_whole_vocabulary(spark):
     got = [x.strength for x in text.topic_strengths(toks).orderBy("topic").collect()]
     assert len(vocab) > 500 and np.allclose(got, np.linalg.svd(m, compute_uv=False)[:4], rtol=1e-6)
     assert {x.word for x in text.topics(toks).collect()} <= set(vocab)
+
+
+def test_cnn_reads_whole_texts(spark):
+    import numpy as np
+
+    toks = text.tokens(table(spark, SF, "documents"))
+    vocab = text.vocabulary(toks)
+    w = inference.random_weights(vocab.count(), 16, 32, 15)
+    ids = {r.doc_id: list(r.ids) for r in text.encode(toks, vocab).filter("size(ids) > 32").limit(50).collect()}
+    got = {r.doc_id: r.score for r in texts.QUERIES["cnn_inference"](spark, SF).collect()}
+    assert ids and all(abs(got[i] - inference.softmax(inference.text_cnn(np.array([x]), w)).max()) < 1e-9 for i, x in ids.items())
