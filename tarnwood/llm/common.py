@@ -56,9 +56,14 @@ def stage(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> DataFrame:
+def parts_for(rows: int, each: int = 50_000) -> int:
+    """Most tasks that should write a table made of so many counted rows; beyond the shuffle partitions it has no effect."""
+    return 1 + rows // each
+
+
+def small_side(df: DataFrame, name: str, rows: int = BROADCAST_ROWS, parts: int | None = None) -> DataFrame:
     """Stage df, count it, and mark it for broadcast only if it has at most `rows` rows; otherwise joins shuffle."""
-    out = stage(df, name)
+    out = stage(df, name, parts)
     return F.broadcast(out) if out.count() <= rows else out
 
 

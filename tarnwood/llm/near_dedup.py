@@ -7,21 +7,25 @@ below the element's weight hit the document; those of rank below theta = t / |x|
 each hashes to one of k coordinates, and the dart of least rank in a coordinate is the signature there. Coordinates
 without a dart are rare and filled by doubling theta for that document. The work is linear in elements plus darts.
 
-Signatures are cut into bands; documents that agree in a band share a bucket. Links are found exactly, without all
-pairs of a bucket: first every member is compared with the bucket's least document, and linked documents are joined to
-classes. Buckets of more than one class go on. Elements that no other of their documents has bound a document's similarity to all
-of them; those below the threshold are done. Counts of elements by class of hash bound the similarity of two. Then the members with the smallest share of such elements are compared with
-the members of other classes where the bounds of both allow a link, and leave the bucket; their number grows by 8 a round, so
-the rounds are logarithmic in a bucket's size. In the end every two members of a bucket were compared, cannot be linked,
-or are connected. Comparing means the exact similarity of the two sets, computed by Spark from arrays that only
-candidates have.
+Signatures are cut into bands; documents that agree in a band share a bucket. Links inside buckets are found exactly, without all
+pairs of a bucket. The pivot of a bucket is its member that shares most buckets with others (the original of a family of
+copies); buckets of one pivot h are one group, and each member z is compared with h: M = h without z, E = z without h. Documents
+linked to h are of one class. Two members x, y have |h| - |Mx| - |My| + c elements in common, c being those that their
+differences share, so they are linked exactly if c >= g(x) + g(y) - |h| (1 - t) / (1 + t) with g = (t |E| + |M|) / (1 + t). For a
+member that is not linked to h this is more than 0: what is left to find shows in shared differences. Differences that only
+one member has cannot be shared, which ends the search for nearly all members (bounds of g and of g - |M| among the members
+of other classes). The others are posted under the rarest of their shared differences (prefix filter: so many that a linked pair
+must meet), and pairs that meet are tested by c. Where more than `longest` members are posted under one difference, they are a
+group of their own with one of them as its pivot, and the same steps follow; the pivot leaves, so this ends.
 
 Exact copies (equal words) are one document with a count throughout. Classes are found by least labels with pointer
 jumping over staged tables; nothing of the corpus is sent to the driver.
 
 Cases: null and empty texts have no words and form one class of exact copies; texts of one to four words are one shingle;
-the least doc_id names a class; rows that repeat a doc_id each give a row; a null doc_id counts as the smallest and is
-returned as null; empty tables give no rows; further columns are ignored."""
+the least doc_id names a class, and the document of that id stays (of several texts with that id, the one of least digest);
+rows that repeat a doc_id each give a row, and a row is known by its id and words, so that one id may stand for several
+texts; a null doc_id counts as the smallest and is returned as null; very long texts are one set of hashes; empty tables
+give no rows; further columns are ignored."""
 
 from __future__ import annotations
 
@@ -29,18 +33,16 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, SPACE, batches_by_bytes, mix64, small_side, stage, utf8
+from .common import SPACE, batches_by_bytes, mix64, parts_for, small_side, stage, utf8
 from .earlier_windows import _NO_ID, keyed
 from .windows import gram_hashes, word_symbols
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
-#: Rows of a few numbers, and pairs of sets, that one task may hold where a table's size is known.
-_ROWS, _PAIRS = 200_000, 4_000
-#: Classes of hashes by which two sets are told apart before they are compared.
-_CLASSES = 64
+#: Rows with lists of differences that one task may hold where a table's size is known.
+_WIDE = 2_000
 #: Poisson(1): chance of at most 0, 1, 2 ... darts in a unit cell.
 _UPTO = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(18)])
 
@@ -123,7 +125,7 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def _signed(rows: DataFrame, bands: int, per_band: int) -> DataFrame:
     def run(batches):
-        for batch in batches_by_bytes(batches, "text", 1 << 20):
+        for batch in batches_by_bytes(batches, "text", 1 << 18):
             raw, ends = utf8(batch.column(1))
             elems, off = elements(raw, ends)
             keys = band_keys(dart_signatures(elems, off, bands * per_band), bands, per_band)
@@ -135,34 +137,20 @@ def _signed(rows: DataFrame, bands: int, per_band: int) -> DataFrame:
 
 
 def _sets(rows: DataFrame) -> DataFrame:
-    """(key, elems, profile): the hashed set, and how many of its elements fall into each of _CLASSES classes of hashes."""
+    """(key, elems): the hashed set of each text."""
 
     def run(batches):
-        for batch in batches_by_bytes(batches, "text", 1 << 20):
+        for batch in batches_by_bytes(batches, "text", 1 << 18):
             raw, ends = utf8(batch.column(1))
             elems, off = elements(raw, ends)
-            row = np.repeat(np.arange(batch.num_rows), np.diff(off))
-            profile = np.bincount(row * _CLASSES + (elems % np.uint64(_CLASSES)).astype(np.int64), minlength=batch.num_rows * _CLASSES).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(elems.view(np.int64))), pa.ListArray.from_arrays(pa.array((np.arange(batch.num_rows + 1) * _CLASSES).astype(np.int32)), pa.array(profile))]
-            yield pa.record_batch([batch.column(0), *lists], names=["key", "elems", "profile"])
+            yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(elems.view(np.int64)))], names=["key", "elems"])
 
-    return rows.select("key", "text").mapInArrow(run, "key long, elems array<long>, profile array<int>")
-
-
-def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """pairs (a, b): those of similarity `threshold` or more, as a staged table."""
-    pairs = stage(pairs, "pairs")
-    n = pairs.count()
-    pairs = F.broadcast(pairs) if n <= BROADCAST_ROWS else pairs
-    one = pairs.join(sets.select(F.col("key").alias("b"), F.col("elems").alias("eb")), "b")
-    both = one.join(sets.select(F.col("key").alias("a"), F.col("elems").alias("ea")), "a")
-    common = F.size(F.array_intersect("ea", "eb"))
-    return stage(both.filter(common >= threshold * (F.size("ea") + F.size("eb") - common)).select("a", "b"), "links", 1 + n // _PAIRS)
+    return rows.select("key", "text").mapInArrow(run, "key long, elems array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(key, label): least key of each connected part, by least labels of neighbours and pointer jumping."""
-    parts = 1 + links.count() // _ROWS  # tables as small as these need few tasks
+    parts = parts_for(links.count())  # tables as small as these need few tasks
     edges = stage(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", parts)
     labels = stage(edges.groupBy(F.col("a").alias("key")).agg(F.least(F.col("key"), F.min("b")).alias("label")), "labels", parts)
     while True:
@@ -175,81 +163,138 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("key", "label")
 
 
-def _mixed(held: DataFrame, parts: int) -> DataFrame:
-    """Rows of the buckets whose members are of more than one class; parts: tasks that write them."""
-    several = held.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("bucket")
-    return stage(held.join(several, "bucket"), "mixed", parts)
-
-
-def links_of(buckets: DataFrame, signed: DataFrame, sets: DataFrame, threshold: float, stars: int = 8) -> tuple[DataFrame, DataFrame]:
-    """buckets: (bucket, key, n) with two members or more. Returns links (a, b) and classes (key, label)."""
-    least = buckets.groupBy("bucket").agg(F.min(F.struct("key", "n")).alias("f")).select("bucket", F.col("f.key").alias("a"), F.col("f.n").alias("na"))
-    rest = stage(buckets.join(least, "bucket").filter("key <> a"), "rest")
-    fit = F.least("n", "na") >= threshold * F.greatest("n", "na")
-    links = verified(rest.filter(fit).select("a", F.col("key").alias("b")).distinct(), sets, threshold)
-    classes = components(links)
-    held = _mixed(rest.join(classes, "key", "left").select("bucket", "key", "n", F.coalesce("label", "key").alias("label")), 1 + rest.count() // _ROWS)
-    if held.isEmpty():
-        return links, classes
-    # What no other of these documents has cannot be common, and is in every union.
-    elems = sets.join(held.select("key").distinct(), "key", "left_semi").select("key", F.explode("elems").alias("e"))
-    own = elems.groupBy("e").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("c")).filter("c = 1").groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("own"))
-    wide = held.join(own, "key", "left").withColumn("own", F.coalesce("own", F.lit(0))).filter(F.col("n") - F.col("own") >= threshold * F.col("n"))
-    about = signed.select("key", "bands").dropDuplicates(["key"]).join(sets.select("key", "profile"), "key")
-    held = _mixed(wide.join(about, "key").withColumn("place", F.struct((F.col("own") / F.col("n")).alias("r"), "key")), 1 + held.count() // (_ROWS // 10))
-    more = []
-    while not held.isEmpty():
-        turn, parts = Window.partitionBy("bucket").orderBy("place"), 1 + held.count() // (_ROWS // 10)
-        heads = stage(held.withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= stars).drop("turn"), "heads", parts)
-        h = heads.select("bucket", *(F.col(c).alias(f"h_{c}") for c in ("key", "n", "own", "label", "bands", "place", "profile")))
-        shared = F.least(F.col("n") - F.col("own"), F.col("h_n") - F.col("h_own"))
-        union = F.greatest(F.col("n") + F.col("h_own"), F.col("h_n") + F.col("own"))
-        apart = F.aggregate(F.zip_with("profile", "h_profile", lambda a, b: F.abs(a - b)), F.lit(0), lambda x, y: x + y)  # at most the elements that one set has alone
-        total = F.col("n") + F.col("h_n")
-        meet = (held["bucket"] == h["bucket"]) & (F.col("place") > F.col("h_place")) & (F.col("label") != F.col("h_label")) & (shared >= threshold * union) & (F.array_min(F.array_intersect("bands", "h_bands")) == held["bucket"]) & (total - apart >= threshold * (total + apart))
-        found = verified(held.join(h, meet).select(F.least("key", "h_key").alias("a"), F.greatest("key", "h_key").alias("b")), sets, threshold)
-        held = held.join(heads.select("bucket", "key"), ["bucket", "key"], "left_anti")
-        if not found.isEmpty():
-            more.append(found)
-            names = held.select("key", "label").unionAll(heads.select("key", "label")).distinct()
-            found = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
-            between = found.join(names.select(F.col("key").alias("a"), F.col("label").alias("la")), "a").join(names.select(F.col("key").alias("b"), F.col("label").alias("lb")), "b")
-            new = components(between.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("key").alias("label"), F.col("label").alias("new"))
-            held = held.join(new, "label", "left").withColumn("label", F.coalesce("new", "label")).drop("new")
-        held = _mixed(held, parts)
-        stars *= 8
-    for found in more:
-        links = links.unionAll(found)
-    return links, components(links) if more else classes
-
-
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 20, per_band: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, class_id (least doc_id of the class), class_size (rows), n_links (links found from the row's text to different
-    texts; two texts that are already of one class are not compared), kept.
-
-    A pair of similarity s shares a bucket with probability 1 - (1 - s**per_band)**bands: 0.9996 at 0.8."""
-    text = F.btrim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE, " "), F.lit(" "))
-    rows, ids = keyed(docs, text, id_col)
-    first = stage(ids.groupBy("sha").agg(F.min(F.struct("doc", "key")).alias("f"), F.count(F.lit(1)).alias("n")).select("sha", F.col("f.key").alias("rep"), F.col("f.doc").alias("doc"), "n"), "texts")
-    copies = small_side(ids.join(first.filter("n > 1").select("sha", "rep"), "sha").filter("key <> rep").select("key").distinct(), "copies")
+def _pivots(buckets: DataFrame, parts: int) -> DataFrame:
+    """(h, key): each member of a bucket beside the bucket's pivot."""
+    sized = buckets.join(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")), "bucket").groupBy("key").agg(F.sum("size").alias("weight"))
+    weighed = stage(buckets.select("bucket", "key").join(sized, "key"), "weighed", parts)
+    pivot = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "key")).alias("p")).select("bucket", F.col("p.key").alias("h"))
+    return weighed.join(pivot, "bucket").filter("key <> h").select("h", "key").distinct()
+
+
+def _linked(common: Column, n: Column, other: Column, threshold: float) -> Column:
+    return common >= threshold * (n + other - common)
+
+
+def _mixed(members: DataFrame, parts: int) -> DataFrame:
+    """Members of the groups that hold more than one class."""
+    several = members.groupBy("grp").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("grp")
+    return members.join(small_side(several, "several", parts=parts), "grp", "left_semi")
+
+
+def _hopeful(members: DataFrame, threshold: float, parts: int) -> DataFrame:
+    """Members that the bounds allow a link to a member of another class, with the least number of differences that such a
+    link shares (o, and eo of E alone). members: (grp, nh, key, label, m, e), of groups of more than one class."""
+    cost = (threshold * F.size("e") + F.size("m")) / (1 + threshold)
+    sizes = members.select("grp", "nh", "key", "label", F.size("m").alias("nm"), F.size("e").alias("ne"), cost.alias("g"), (cost - F.size("m")).alias("r"))
+    seen = members.select("grp", "key", F.explode("e").alias("x"), F.lit(1).alias("in_e")).unionAll(members.select("grp", "key", F.explode("m").alias("x"), F.lit(0).alias("in_e")))
+    own = seen.groupBy("grp", "x", "in_e").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("c")).filter("c = 1").groupBy("grp", "key").agg(F.sum("in_e").alias("own_e"), F.sum(1 - F.col("in_e")).alias("own_m"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    held = stage(sizes.join(own, ["grp", "key"], "left").withColumns({"se": F.col("ne") - zero("own_e"), "sm": F.col("nm") - zero("own_m")}).drop("own_e", "own_m"), "bounds", parts)
+    least = small_side(held.groupBy("grp").agg(F.min(F.struct("g", "label")).alias("bg"), F.min(F.struct("r", "label")).alias("br")), "least", parts=parts)
+    others = held.join(least, "grp").groupBy("grp").agg(F.min(F.when(F.col("label") != F.col("bg.label"), F.col("g"))).alias("g2"), F.min(F.when(F.col("label") != F.col("br.label"), F.col("r"))).alias("r2"))
+    told = held.join(least, "grp").join(small_side(others, "others", parts=parts), "grp")
+    free = F.col("nh") * ((1 - threshold) / (1 + threshold)) + 1e-6  # rounding never rules a member out
+    g = F.when(F.col("label") != F.col("bg.label"), F.col("bg.g")).otherwise(F.col("g2"))
+    r = F.when(F.col("label") != F.col("br.label"), F.col("br.r")).otherwise(F.col("r2"))
+    told = told.withColumns({"o": F.col("g") + g - free, "eo": F.col("g") + r - free})
+    return told.filter("se + sm > 0 and se + sm >= o and se >= eo").select("grp", "key", "o", "eo")
+
+
+def _posted(members: DataFrame, parts: int) -> DataFrame:
+    """(grp, kind, x, key): members under the rarest of their shared differences. Kind 1: of E, for links that must share
+    some of E; kind 0: of both, for members of which that is not known."""
+    one = lambda c, in_e: members.select("grp", "key", "o", "eo", F.explode(c).alias("x"), F.lit(in_e).alias("in_e"))
+    seen = stage(one("e", 1).unionAll(one("m", 0)), "differences", parts)
+    times = seen.groupBy("grp", "x", "in_e").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    shared = seen.join(times, ["grp", "x", "in_e"]).groupBy("grp", "key", "o", "eo").agg(F.array_sort(F.collect_list(F.struct("c", "x", "in_e"))).alias("d"))
+    upto = lambda d, o: F.slice(d, 1, F.greatest(F.size(d) - F.greatest(F.lit(1), F.ceil(o)).cast("int") + 1, F.lit(0)))
+    kinds = shared.select("grp", "key", upto(F.filter("d", lambda d: d["in_e"] == 1), F.col("eo")).alias("e"), F.when(F.col("eo") < 1, upto(F.col("d"), F.col("o"))).alias("d"))
+    return stage(kinds.select("grp", "key", F.explode("e").alias("d"), F.lit(1).alias("kind")).unionAll(kinds.select("grp", "key", F.explode("d").alias("d"), F.lit(0).alias("kind"))).select("grp", "kind", "d.x", "key"), "posted", parts)
+
+
+def _renamed(members: DataFrame, links: DataFrame) -> DataFrame:
+    return members.join(components(links).select("key", F.col("label").alias("new")), "key", "left").withColumn("label", F.coalesce("new", "key")).drop("new")
+
+
+def links_of(buckets: DataFrame, sets: DataFrame, threshold: float, longest: int = 256) -> DataFrame:
+    """buckets: (bucket, key) with two members or more; sets: (key, elems). Returns links (a, b) that connect the documents of each class."""
+    few = parts_for(buckets.count())
+    pairs = small_side(_pivots(buckets, few), "pivots", parts=few)
+    parts = parts_for(pairs.count(), _WIDE)
+    one = sets.join(pairs, "key").select("h", "key", "elems")
+    both = one.join(sets.select(F.col("key").alias("h"), F.col("elems").alias("eh")), "h")
+    members = stage(both.select(F.col("h").alias("grp"), F.col("h").alias("pivot"), F.size("eh").alias("nh"), "key", F.array_except("eh", "elems").alias("m"), F.array_except("elems", "eh").alias("e")), "members", parts)
+    n = F.col("nh") - F.size("m") + F.size("e")  # elements of the member
+    links = stage(members.filter(_linked(n - F.size("e"), n, F.col("nh"), threshold)).select(F.col("pivot").alias("a"), F.col("key").alias("b")), "links", parts)
+    while True:
+        held = stage(_mixed(_renamed(members.drop("pivot"), links), parts), "mixed", parts)
+        if held.isEmpty():
+            return links
+        held = stage(held.join(_hopeful(held, threshold, parts), ["grp", "key"]), "hopeful", parts)
+        posted = _posted(held, parts)
+        lists = posted.groupBy("grp", "kind", "x").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+        posts = stage(posted.join(lists, ["grp", "kind", "x"]).join(held.select("grp", "key", "label", "nh", F.size("m").alias("nm"), F.size("e").alias("ne")), ["grp", "key"]), "posts", parts)
+        short, cost = posts.filter(F.col("c") <= longest), lambda p: (threshold * F.col(f"{p}ne") + F.col(f"{p}nm")) / (1 + threshold)
+        y = short.select("grp", "kind", "x", *(F.col(c).alias(f"y_{c}") for c in ("key", "label", "nm", "ne")))
+        enough = F.least("nm", "y_nm") + F.least("ne", "y_ne") >= cost("") + cost("y_") - F.col("nh") * ((1 - threshold) / (1 + threshold)) - 1e-6
+        meet = stage(short.join(y, ["grp", "kind", "x"]).filter((F.col("key") < F.col("y_key")) & (F.col("label") != F.col("y_label")) & enough).select("grp", F.col("key").alias("a"), F.col("y_key").alias("b")).distinct(), "pairs", parts)
+        side = lambda p: held.select("grp", F.col("key").alias(p), F.col("m").alias(f"m_{p}"), F.col("e").alias(f"e_{p}"), "nh")
+        tested = meet.join(side("a"), ["grp", "a"]).join(side("b").drop("nh"), ["grp", "b"])
+        common = F.col("nh") - F.size("m_a") - F.size("m_b") + F.size(F.array_intersect("m_a", "m_b")) + F.size(F.array_intersect("e_a", "e_b"))
+        size = lambda p: F.col("nh") - F.size(f"m_{p}") + F.size(f"e_{p}")
+        links = stage(links.unionAll(tested.filter(_linked(common, size("a"), size("b"), threshold)).select("a", "b")).distinct(), "links", parts)
+        long = posts.filter(F.col("c") > longest).select(F.xxhash64("grp", "kind", "x").alias("sub"), "grp", "key")
+        if long.isEmpty():
+            return links
+        lead = long.join(held.select("grp", "key", "m", "e", "nh"), ["grp", "key"])
+        first = lead.groupBy("sub").agg(F.min("key").alias("pivot"))
+        lead = stage(lead.join(small_side(first, "first", parts=parts), "sub"), "sub", parts)
+        p = lead.filter("key = pivot").select("sub", F.col("m").alias("pm"), F.col("e").alias("pe"))
+        less, more = lambda x, y: F.array_except(x, y), F.concat
+        members = lead.filter("key <> pivot").join(p, "sub").select(F.col("sub").alias("grp"), "pivot", (F.col("nh") - F.size("pm") + F.size("pe")).alias("nh"), "key", more(less("m", "pm"), less("pe", "e")).alias("m"), more(less("pm", "m"), less("e", "pe")).alias("e"))
+        members, parts = stage(members, "members", parts), parts_for(lead.count(), _WIDE)
+        links = stage(links.unionAll(members.filter(_linked(n - F.size("e"), n, F.col("nh"), threshold)).select(F.col("pivot").alias("a"), F.col("key").alias("b"))).distinct(), "links", parts)
+
+
+def _classes(docs: DataFrame, threshold: float, bands: int, per_band: int, id_col: str, text_col: str, longest: int = 256) -> DataFrame:
+    """Per row: doc (null id as least), sha of the text's words, class_id, class_size, first (sha of the document that stays)."""
+    rows, ids = keyed(docs, _words_of(text_col), id_col)
+    parts = parts_for(ids.count())
+    first = stage(ids.groupBy("sha").agg(F.min(F.struct("doc", "key")).alias("f"), F.count(F.lit(1)).alias("n")).select("sha", F.col("f.key").alias("rep"), F.col("f.doc").alias("doc"), "n"), "texts", parts)
+    copies = small_side(ids.join(first.filter("n > 1").select("sha", "rep"), "sha").filter("key <> rep").select("key").distinct(), "copies", parts=parts)
     single = rows.select("key", "text").join(copies, "key", "left_anti")
     signed = stage(_signed(single, bands, per_band), "signatures")
-    exploded = signed.select("key", "n", F.explode("bands").alias("bucket"))
+    exploded = signed.select("key", F.explode("bands").alias("bucket"))
     shared = exploded.groupBy("bucket").agg(F.min("key").alias("x"), F.max("key").alias("y")).filter("x <> y").select("bucket")
-    buckets = stage(exploded.join(shared, "bucket").select("bucket", "key", "n").distinct(), "buckets")
-    wanted = small_side(buckets.select("key").distinct(), "wanted")
+    buckets = stage(exploded.join(shared, "bucket").select("bucket", "key").distinct(), "buckets", bands * parts)
+    wanted = small_side(buckets.select("key").distinct(), "wanted", parts=parts)
     sets = stage(_sets(single.join(wanted, "key", "left_semi")).dropDuplicates(["key"]), "sets")
-    links, classes = links_of(buckets, signed, sets, threshold)
-    degree = links.select(F.col("a").alias("rep")).unionAll(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+    classes = components(links_of(buckets, sets, threshold, longest))
     texts = first.join(classes.select(F.col("key").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    named = texts.groupBy("label").agg(F.min("doc").alias("class_id"), F.sum("n").alias("class_size"))
-    told = stage(texts.join(named, "label").join(degree, "rep", "left").select("sha", "class_id", "class_size", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "classes")
-    out = ids.join(told, "sha")
+    named = texts.groupBy("label").agg(F.min(F.struct("doc", "sha")).alias("f"), F.sum("n").alias("class_size"))
+    told = stage(texts.join(named, "label").select("sha", F.col("f.doc").alias("class_id"), F.col("f.sha").alias("first"), "class_size"), "classes", parts)
+    return ids.join(told, "sha").select("doc", "sha", "class_id", "class_size", "first")
+
+
+def _words_of(text_col: str) -> Column:
+    return F.btrim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE, " "), F.lit(" "))
+
+
+def _kept() -> Column:
+    return (F.col("doc") == F.col("class_id")) & (F.col("sha") == F.col("first"))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 20, per_band: int = 5, id_col: str = "doc_id", text_col: str = "text", longest: int = 256) -> DataFrame:
+    """Per row: doc_id, class_id (least doc_id of the class), class_size (rows), kept.
+
+    A pair of similarity s shares a bucket with probability 1 - (1 - s**per_band)**bands: 0.9996 at 0.8."""
     real = lambda c: F.nullif(F.col(c), F.lit(_NO_ID))
-    return out.select(real("doc").alias("doc_id"), real("class_id").alias("class_id"), "class_size", "n_links", (F.col("doc") == F.col("class_id")).alias("kept"))
+    return _classes(docs, threshold, bands, per_band, id_col, text_col, longest).select(real("doc").alias("doc_id"), real("class_id").alias("class_id"), "class_size", _kept().alias("kept"))
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, one document of each class, with all their columns."""
-    gone = small_side(near_duplicates(docs, id_col=id_col, text_col=text_col).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "near")
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+def drop_near_copies(docs: DataFrame, threshold: float = 0.8, bands: int = 20, per_band: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay, one document (id and words) of each class, with all their columns."""
+    gone = _classes(docs, threshold, bands, per_band, id_col, text_col).filter(~_kept()).select(F.col("doc").alias("_gone"), F.col("sha").alias("_sha")).distinct()
+    gone = small_side(gone, "near", parts=parts_for(docs.count()))
+    own = (F.coalesce(docs[id_col].cast("long"), F.lit(_NO_ID)) == gone["_gone"]) & (F.sha2(_words_of(text_col), 256) == gone["_sha"])
+    return docs.join(gone, own, "left_anti")

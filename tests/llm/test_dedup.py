@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from brute import exact_rows, fm_rows, near_rows, ordered, rows_of, suffix_rows
+from brute import bag, exact_rows, fm_rows, near_rows, ordered, rows_of, suffix_rows
 from pyspark.sql import functions as F
 
 from tarnwood.llm import exact_dedup, fm_dedup, near_dedup, suffix_dedup
@@ -85,10 +85,50 @@ def test_near_chains_are_not_lost(spark):
     assert rows_of(near_dedup.near_duplicates(df), *NEAR) == ordered(near_rows(rows))
 
 
-def test_near_counts_links(spark):
-    rows = [(i, " ".join(f"q{j}" for j in range(100)) + f" z{i}") for i in range(12)]
-    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r.class_id for r in out} == {0} and sum(r.n_links for r in out) >= 2 * 11
+def _family(seed, n):
+    """Copies of copies: sets of changed words are shared between some, dropped and added words, and texts just below the threshold."""
+    r = random.Random(seed)
+    base = [f"b{i}" for i in range(160)]
+    kin = [base]
+    for i in range(n):
+        w = list(r.choice(kin[-12:] if r.random() < 0.5 else kin))
+        for _ in range(r.randrange(1, 6)):
+            at = r.randrange(len(w))
+            w[at : at + r.choice([0, 1, 1, 2])] = [r.choice([f"x{r.randrange(30)}", f"u{i}_{at}"]) for _ in range(r.choice([0, 1, 1, 3]))]
+        kin.append(w)
+    return [(i, " ".join(w)) for i, w in enumerate(kin)]
+
+
+@pytest.mark.parametrize("longest", [2, 256])
+def test_near_families(spark, longest):
+    rows = _family(4, 120)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len({c for _, c, _ in near_rows(rows)}) > 3
+    assert rows_of(near_dedup.near_duplicates(df, per_band=2, longest=longest), *NEAR) == ordered(near_rows(rows))
+
+
+def test_near_one_id_for_two_texts(spark):
+    a = " ".join(f"q{j}" for j in range(100))
+    rows = [(1, a), (5, a + " z"), (5, "another text with nothing in common"), (None, "y " + a), (None, "some other words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert ordered((r.doc_id, r.text) for r in near_dedup.drop_near_copies(df).collect()) == ordered([rows[2], rows[3], rows[4]])
+
+
+def test_near_recall_on_documents(spark):
+    """Pairs of 0.8 and more among documents that share a shingle of at most 60 documents."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    bags = [bag(t) for _, t in rows]
+    by = {}
+    for i, b in enumerate(bags):
+        for g in b:
+            by.setdefault(g, []).append(i)
+    near = set()
+    for i, j in {(i, j) for g in by.values() if len(g) <= 60 for i in g for j in g if i < j}:
+        both = sum((bags[i] & bags[j]).values())
+        if both >= 0.8 * (sum(bags[i].values()) + sum(bags[j].values()) - both):
+            near.add((rows[i][0], rows[j][0]))
+    of = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    assert len(near) > 50 and sum(of[a] == of[b] for a, b in near) >= 0.99 * len(near)
 
 
 def test_signatures_estimate_weighted_similarity():
@@ -102,10 +142,6 @@ def test_signatures_estimate_weighted_similarity():
     assert (small[0] != 0).all() and (small[1] == 0).all()
 
 
-def test_bucket_recall():
-    assert 1 - (1 - 0.8**5) ** 20 > 0.99
-
-
 @pytest.mark.parametrize("op", [exact_dedup.exact_dedup, suffix_dedup.remove_repeats, fm_dedup.remove_repeats, near_dedup.near_duplicates])
 def test_empty_table(op, none):
     assert op(none).count() == 0
