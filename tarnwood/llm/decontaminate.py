@@ -2,17 +2,20 @@
 
 The training texts are tokenised once; every posting (term, document, position) of a term that occurs in the test set is
 stored as a table in the shared folder, with one end posting per document that carries its length. Test items become
-windows of `width` consecutive words. For each window the posting lists are taken in the order of their length: the
-rarest term's list, moved by the term's offset in the window, gives candidate starts; the second rarest term's moved list
-is intersected with them; what is left is intersected with the remaining lists, read for the documents that are left. A
-start that is in all lists is an exact phrase match. proximity() asks instead for all terms within a span, in any order. Only DataFrame operations are used.
+windows of `width` consecutive words. For each window the posting lists are taken in the order of their length: each posting of the
+rarest term is a candidate place; places without the second rarest term near by go, then those without the third; the
+lists of the other terms are read for the documents that are left. At a place that remains, the offset-adjusted positions
+tell whether it is an exact phrase match (every term at its offset), and whether it is a proximity match: all words of the
+window, each as often as in the window, in any order, inside n + n div 2 consecutive words of the document, n being the
+window's length. An exact match is a proximity match. Only DataFrame operations are used.
 
 Sizes: vocabulary, windows and candidates are broadcast only after they were counted (common.small_side), else joined by
-shuffle on (doc, position, term), keys that no single word dominates. Word frequencies are summed before the shuffle.
+shuffle on (key, block of positions, term), keys that no single word dominates. Word frequencies are summed before the shuffle.
 
 Cases: null and empty texts have no words and give zero counts; items without words or id are ignored; items shorter than
-the window are one window; doc_id names a document: rows that repeat it are read as one document and each get its
-answer; a null doc_id is such an id; an empty benchmark gives no hits; further columns are ignored."""
+the window are one window; a document is a row's id and text: rows that repeat both are one document and each get its
+answer, one id with several texts stands for several documents, and a null id is an id like others; very long texts are
+postings like any others; an empty benchmark gives no hits, empty documents no rows; further columns are ignored."""
 
 from __future__ import annotations
 
@@ -36,8 +39,11 @@ def words(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, _SPLIT))
 
 
-def _key(id_col: str) -> Column:
-    return F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
+def _row_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """The id (null as least), or a hash of id and text where some id stands for two texts."""
+    doc, text = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), F.coalesce(F.col(text_col), F.lit(""))
+    seen = docs.select(doc.alias("doc"), F.xxhash64(text).alias("h")).groupBy("doc").agg(F.min("h").alias("a"), F.max("h").alias("b"))
+    return doc if seen.filter("a < b").isEmpty() else F.xxhash64(doc, text)
 
 
 def item_windows(items: DataFrame, width: int) -> DataFrame:
@@ -47,14 +53,14 @@ def item_windows(items: DataFrame, width: int) -> DataFrame:
     return w.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i, F.lit(width)))).alias("win")).distinct()
 
 
-def build_index(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+def build_index(docs: DataFrame, windows: DataFrame, key: Column, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """The stored postings (doc, pos, term) and the vocabulary (word, term) of the test set."""
     from pyspark.sql import Window
 
     test_words = windows.select(F.explode("win").alias("word")).distinct()
     vocab = test_words.withColumn("term", F.row_number().over(Window.orderBy("word"))).unionAll(docs.sparkSession.createDataFrame([("", END)], "word string, term int"))
     vocab = small_side(vocab, "vocabulary")
-    tokens = docs.select(_key(id_col).alias("doc"), F.posexplode(F.array_append(words(F.col(text_col)), F.lit(""))).alias("pos", "word"))
+    tokens = docs.select(key.alias("doc"), F.posexplode(F.array_append(words(F.col(text_col)), F.lit(""))).alias("pos", "word"))
     return stage(tokens.join(vocab, "word").select("doc", "pos", "term"), "postings"), vocab
 
 
@@ -70,59 +76,88 @@ def ranked_windows(windows: DataFrame, vocab: DataFrame, postings: DataFrame) ->
     return ranked.select("win", F.size("win").alias("n"), "parts", F.row_number().over(Window.orderBy("win")).alias("wid"))
 
 
-def phrase_matches(postings: DataFrame, ranked: DataFrame) -> DataFrame:
-    """(doc, start, n, wid) of every exact occurrence of a window."""
+def _span(n):
+    return n + F.floor(n / 2).cast("int")
+
+
+def matches(postings: DataFrame, ranked: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """(doc, start, n, wid) of every exact occurrence of a window, and (doc, wid) of the windows with a proximity match."""
+    reach = width + width // 2  # no stretch is longer
+    block = lambda pos: F.floor(pos / reach).cast("int")
 
     def part(i: int, name: str) -> DataFrame:
         """The i-th rarest term of each window that has one."""
         return small_side(ranked.filter(F.size("parts") > i).select(F.col("parts")[i]["term"].alias("term"), F.col("parts")[i]["off"].alias("off"), "n", "wid"), name)
 
-    starts = postings.join(part(0, "rarest"), "term").select("doc", (F.col("pos") - F.col("off")).alias("start"), "n", "wid").filter("start >= 0")
-    starts = stage(starts, "candidates")
-    second = part(1, "second")
-    need = starts.drop("n").join(second.drop("n"), "wid").select("doc", (F.col("start") + F.col("off")).alias("pos"), "term", "start", "wid")
-    lists = postings.join(small_side(second.select("term").distinct(), "terms"), "term", "left_semi")
-    found = stage(lists.join(need, ["doc", "pos", "term"]).select("doc", "start", "wid").distinct(), "survivors")
-    rest = small_side(ranked.select("n", "wid", F.explode(F.slice("parts", 3, 1 << 20)).alias("p")).select("n", "wid", "p.off", "p.term"), "others")
-    need = found.join(rest, "wid").select("doc", (F.col("start") + F.col("off")).alias("pos"), "term", "start", "n", "wid")
-    lists = postings.join(small_side(found.select("doc").distinct(), "documents"), "doc", "left_semi")
-    full = lists.join(need, ["doc", "pos", "term"]).groupBy("doc", "start", "n", "wid").agg(F.count_distinct("pos").alias("found")).filter("found = n - 2")
-    keep = ["doc", "start", "n", "wid"]
-    two = found.join(small_side(ranked.filter("n = 2").select("n", "wid"), "pairs"), "wid").select(keep)
-    return full.select(keep).unionByName(two).unionByName(starts.filter("n = 1").select(keep).distinct())
-
-
-def proximity(postings: DataFrame, ranked: DataFrame, span: int) -> DataFrame:
-    """(doc, at, wid): places of a window's rarest term with each other term of the window within `span` words, in any order."""
-    first = postings.join(small_side(ranked.select(F.col("parts")[0]["term"].alias("term"), "wid", F.array_distinct(F.transform(F.slice("parts", 2, 1 << 20), lambda p: p["term"])).alias("others")), "near"), "term")
-    at = stage(first.select("doc", F.col("pos").alias("at"), "wid", F.array_remove("others", F.col("term")).alias("others")), "places")
-    alone = at.filter("size(others) = 0").select("doc", "at", "wid")
-    need = at.select("doc", "at", "wid", F.size("others").alias("k"), F.explode("others").alias("term"))
-    near = need.join(postings, ["doc", "term"]).filter(F.abs(F.col("pos") - F.col("at")) <= span)
-    return near.groupBy("doc", "at", "wid", "k").agg(F.count_distinct("term").alias("found")).filter("found = k").select("doc", "at", "wid").unionByName(alone).distinct()
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, width: int = 8, least_items: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    def near(places: DataFrame, i: int) -> DataFrame:
+        """Places of windows of more than i words that have the i-th rarest term near by."""
+        other = part(i, f"part{i}")
+        lists = postings.join(small_side(other.select("term").distinct(), "terms"), "term", "left_semi").withColumnRenamed("pos", "at")
+        lists = lists.select("doc", "term", "at", F.explode(F.array(*(block(F.col("at")) + d for d in (-1, 0, 1)))).alias("block"))
+        need = places.join(other.drop("n", "off"), "wid").withColumn("block", block(F.col("pos")))
+        close = need.join(lists, ["doc", "block", "term"]).filter((F.abs(F.col("at") - F.col("pos")) < _span(F.col("n"))) & (F.col("at") != F.col("pos")))
+        return stage(close.select("doc", "pos", "off", "n", "wid").distinct(), f"near{i}")
+
+    first = stage(postings.join(part(0, "rarest"), "term").select("doc", "pos", "off", "n", "wid"), "candidates")
+    second = near(first, 1)
+    third = near(second.filter("n > 2"), 2)
+    rest = third.unionByName(second.filter("n = 2"))
+    terms = F.array_distinct(F.transform("parts", lambda x: x["term"]))
+    needs = F.transform(terms, lambda t: F.struct(t.alias("term"), F.size(F.filter("parts", lambda x: x["term"] == t)).alias("c")))
+    parts = small_side(ranked.select("wid", F.transform("parts", lambda x: F.struct(x["off"].alias("off"), x["term"].alias("term"))).alias("parts"), needs.alias("needs")), "windows")
+    need = rest.join(parts.select("wid", "needs"), "wid").select("doc", "pos", "off", "n", "wid", F.explode("needs.term").alias("term"))
+    need = need.select("*", F.explode(F.array(*(block(F.col("pos")) + d for d in (-1, 0, 1)))).alias("block"))
+    lists = postings.join(small_side(rest.select("doc").distinct(), "documents"), "doc", "left_semi").select("doc", "term", F.col("pos").alias("at"), block(F.col("pos")).alias("block"))
+    seen = need.join(lists, ["doc", "block", "term"]).filter(F.abs(F.col("at") - F.col("pos")) < _span(F.col("n")))
+    seen = seen.groupBy("doc", "pos", "off", "n", "wid").agg(F.collect_set(F.struct("at", "term")).alias("hits")).join(parts, "wid")
+    start = F.col("pos") - F.col("off")
+    exact = F.forall("parts", lambda x: F.array_contains(F.col("hits"), F.struct((start + x["off"]).alias("at"), x["term"].alias("term"))))
+    inside = lambda s: F.filter("hits", lambda h: (h["at"] >= s) & (h["at"] < s + _span(F.col("n"))))
+    whole = lambda hits: F.forall("needs", lambda t: F.size(F.filter(hits, lambda h: h["term"] == t["term"])) >= t["c"])
+    firsts = F.filter(F.transform("hits", lambda h: h["at"]), lambda a: a <= F.col("pos"))  # a stretch may begin at one of the words
+    told = seen.select("doc", "pos", "off", "n", "wid", exact.alias("exact"), F.when(exact, True).when(whole(F.col("hits")), F.exists(firsts, lambda s: whole(inside(s)))).otherwise(False).alias("near"))
+    told = stage(told.filter("near"), "matches")
+    alone = first.filter("n = 1").select("doc", F.col("pos").alias("start"), "n", "wid").distinct()
+    exacts = told.filter("exact").select("doc", start.alias("start"), "n", "wid").unionByName(alone)
+    return exacts, told.select("doc", "wid").unionByName(alone.select("doc", "wid")).distinct()
+
+
+def _judged(docs: DataFrame, items: DataFrame, key: Column, width: int, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc, n_words) of all keys, and (doc, n_hit, n_items, item_list, n_near, near_list) of those with a match."""
     windows = stage(item_windows(items, width), "windows")
-    postings, vocab = build_index(docs, windows, id_col, text_col)
+    postings, vocab = build_index(docs, windows, key, text_col)
     ranked = stage(ranked_windows(windows, vocab, postings), "ranked")
-    hits = stage(phrase_matches(postings, ranked), "hits")
+    exact, close = matches(postings, ranked, width)
+    hits = stage(exact, "hits")
     hit = hits.select("doc", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("pos")).distinct().groupBy("doc").agg(F.count(F.lit(1)).alias("n_hit"))
     of = small_side(windows.join(ranked.select("win", "wid"), "win").select("wid", "item_id"), "items")
-    found = hits.select("doc", "wid").distinct().join(of, "wid").select("doc", F.col("item_id").cast("string").alias("item")).distinct()
-    found = found.groupBy("doc").agg(F.count(F.lit(1)).alias("n_items"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("item_list"))
-    told = small_side(hit.join(found, "doc"), "told")
-    length = postings.filter(F.col("term") == END).groupBy("doc").agg(F.max("pos").cast("long").alias("n_words"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _key(id_col).alias("doc"))
+
+    def items_of(found: DataFrame, n: str, listed: str) -> DataFrame:
+        ids = found.select("doc", "wid").distinct().join(of, "wid").select("doc", F.col("item_id").cast("string").alias("item")).distinct()
+        return ids.groupBy("doc").agg(F.count(F.lit(1)).alias(n), F.array_join(F.array_sort(F.collect_list("item")), ",").alias(listed))
+
+    told = items_of(close, "n_near", "near_list").join(items_of(hits, "n_items", "item_list"), "doc", "left").join(hit, "doc", "left")
+    return postings.filter(F.col("term") == END).groupBy("doc").agg(F.max("pos").cast("long").alias("n_words")), small_side(told, "told")
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, width: int = 8, least_items: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated by exact matches; n_near, near_sha256:
+    the items with a proximity match, digested alike."""
+    key = _row_key(docs, id_col, text_col)
+    length, told = _judged(docs, items, key, width, text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("doc"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return rows.join(length, "doc").join(told, "doc", "left").select("doc_id", "n_words", zero("n_hit"), zero("n_items"), F.sha2(F.coalesce("item_list", F.lit("")), 256).alias("items_sha256"), F.coalesce(F.col("n_items") >= least_items, F.lit(False)).alias("contaminated"))
+    digest = lambda c: F.sha2(F.coalesce(c, F.lit("")), 256)
+    bad = F.coalesce(F.col("n_items") >= least_items, F.lit(False)).alias("contaminated")
+    return rows.join(length, "doc").join(told, "doc", "left").select("doc_id", "n_words", zero("n_hit"), zero("n_items"), digest("item_list").alias("items_sha256"), bad, zero("n_near"), digest("near_list").alias("near_sha256"))
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that are not contaminated, with all their columns."""
-    gone = small_side(decontaminate(docs, items, id_col=id_col, text_col=text_col).filter("contaminated").select(F.col("doc_id").alias("_gone")).distinct(), "contaminated")
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = 8, least_items: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that are not contaminated (by exact matches), with all their columns; a row is known by id and text."""
+    key = _row_key(docs, id_col, text_col)
+    _, told = _judged(docs, items, key, width, text_col)
+    gone = small_side(told.filter(F.col("n_items") >= least_items).select(F.col("doc").alias("_gone")), "contaminated")
+    return docs.join(gone, key == gone["_gone"], "left_anti")
 
 
 ORACLE = r"""
@@ -133,7 +168,16 @@ sizes AS (SELECT DISTINCT n FROM bw),
 dw AS (SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS win FROM (SELECT d.doc_id, d.w, s.n, unnest(range(1, len(d.w) - s.n + 2)) AS i FROM d, sizes s)),
 h AS (SELECT dw.doc_id, dw.i, dw.n, bw.item_id FROM dw JOIN bw ON dw.win = bw.win AND dw.n = bw.n),
 p AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS pos FROM h) GROUP BY doc_id),
-it AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS l FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
-SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(p.n_hit, 0) AS n_hit, coalesce(it.n_items, 0) AS n_items, sha256(coalesce(it.l, '')) AS items_sha256, coalesce(it.n_items, 0) >= 2 AS contaminated
-FROM d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS l FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id),
+nw AS (SELECT DISTINCT item_id, w[i : i + 7] AS v, least(len(w), 8) AS n, least(len(w), 8) + least(len(w), 8) // 2 AS span FROM b, unnest(range(1, greatest(len(w) - 7, 1) + 1)) t(i) WHERE len(w) > 0),
+freq AS (SELECT word, count(*) AS c FROM (SELECT unnest(w) AS word FROM d) GROUP BY word),
+ns AS (SELECT v, span, arg_min(word, (coalesce(c, 0), word)) AS rare FROM (SELECT DISTINCT v, span, unnest(v) AS word FROM nw) LEFT JOIN freq USING (word) GROUP BY v, span),
+dp AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+nc AS (SELECT dp.doc_id, dp.w, dp.i, ns.v, ns.span FROM dp JOIN ns ON dp.w[dp.i] = ns.rare WHERE list_has_all(dp.w[greatest(dp.i - ns.span + 1, 1) : dp.i + ns.span - 1], ns.v)),
+nl AS (SELECT doc_id, v, w[s : s + span - 1] AS part FROM (SELECT doc_id, w, v, span, unnest(range(greatest(i - span + 1, 1), i + 1)) AS s FROM nc)),
+nh AS (SELECT DISTINCT doc_id, v FROM nl WHERE list_has_all(part, v) AND len(list_filter(v, lambda x: len(list_filter(part, lambda y: y = x)) < len(list_filter(v, lambda y: y = x)))) = 0),
+nt AS (SELECT doc_id, count(*) AS n_near, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS l FROM (SELECT DISTINCT nh.doc_id, nw.item_id FROM nh JOIN nw USING (v)) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(p.n_hit, 0) AS n_hit, coalesce(it.n_items, 0) AS n_items, sha256(coalesce(it.l, '')) AS items_sha256, coalesce(it.n_items, 0) >= 2 AS contaminated,
+  coalesce(nt.n_near, 0) AS n_near, sha256(coalesce(nt.l, '')) AS near_sha256
+FROM d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id LEFT JOIN nt ON nt.doc_id = d.doc_id
 """

@@ -26,6 +26,11 @@ def test_exact_compares_texts_where_digests_meet(docs):
     assert rows_of(weak, *EXACT) == ordered(exact_rows(pairs(docs)))
 
 
+def test_exact_with_salted_join(docs, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", 0)
+    assert rows_of(exact_dedup.exact_dedup(docs), *EXACT) == ordered(exact_rows(pairs(docs)))
+
+
 def test_drop_copies_keeps_columns(docs):
     kept = exact_dedup.drop_copies(docs)
     assert kept.columns == docs.columns

@@ -1,12 +1,13 @@
 import hashlib
 import itertools
 import math
+import random
 import re
 from collections import Counter
 
 import numpy as np
 import pytest
-from brute import leak_rows, ordered, rows_of
+from brute import leak_rows, ordered, rows_of, words7
 from pyspark.sql import functions as F
 
 from tarnwood.llm import decontaminate, language_id, secret_scan, spm_lattice, token_counts, url_filter
@@ -90,6 +91,17 @@ def test_training_ignores_held_out_rows(spark):
     assert all((x == y).all() for x, y in zip(a.cost, b.cost))
 
 
+def test_training_is_bounded_by_rows(spark):
+    """One id of very many rows, and a bound that is met in any order of the rows."""
+    rows = [(1, f"abc{i}", "x") for i in range(3000)] + [(i, f"text {i}", "y") for i in range(2, 900)] + [(None, "zzz", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    h = df.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"), F.octet_length("text").alias("size"))
+    got = {r.lang: r.n for r in language_id.smallest_by_hash(h, "lang", 50).groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    assert got["y"] == 50 and got.get("x", 0) <= 50
+    a, b = language_id.train(df, train_docs=50), language_id.train(df.repartition(7), train_docs=50)
+    assert a.langs == b.langs and all((x == y).all() for x, y in zip(a.cost, b.cost))
+
+
 def _base(text):
     out = []
     for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
@@ -137,14 +149,43 @@ def test_decontamination(spark, docs):
     assert {r.doc_id for r in decontaminate.drop_contaminated(docs, df).collect()}.isdisjoint(gone)
 
 
-def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "x b y a z c"), (2, "a q q q q q q q q b c"), (3, "a b c")], "doc_id long, text string")
-    items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
-    w = decontaminate.item_windows(items, 8)
-    postings, vocab = decontaminate.build_index(docs, w, "doc_id", "text")
-    ranked = decontaminate.ranked_windows(w, vocab, postings)
-    assert {r.doc for r in decontaminate.proximity(postings, ranked, 4).collect()} == {1, 3}
-    assert {r.doc for r in decontaminate.phrase_matches(postings, ranked).collect()} == {3}
+def near_rows(rows, items, width=8):
+    """(doc_id, n_near, near_sha256): items with a window whose words all stand inside n + n // 2 words of a text."""
+    wins = {}
+    for i, t in items:
+        w = words7(t)
+        if i is not None and w:
+            for j in range(max(1, len(w) - width + 1)):
+                wins.setdefault(tuple(w[j : j + width]), set()).add(i)
+    out = []
+    for i, t in rows:
+        w, found = words7(t), set()
+        for win, of in wins.items():
+            span, need = len(win) + len(win) // 2, Counter(win)
+            if any(not need - Counter(w[s : s + span]) for s in range(len(w))):
+                found |= of
+        out.append((i, len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()))
+    return out
+
+
+def test_proximity(spark, docs):
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choice("abcdefgh") for _ in range(r.randrange(1, 40)))) for i in range(60)] + [(100, "x b y a z c"), (101, "the sly brown cat ran over a lazy big old dog"), (102, None)]
+    items = [(i, " ".join(r.choice("abcdefgh") for _ in range(r.randrange(1, 12)))) for i in range(25)] + [(30, "a b c"), (31, "brown sly cat over ran lazy a dog"), (32, "a a b b"), (33, "absent")]
+    df, it = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    out = decontaminate.decontaminate(df, it)
+    assert rows_of(out, "doc_id", "n_near", "near_sha256") == ordered(near_rows(rows, items))
+    assert rows_of(out, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == ordered(leak_rows(rows, items))
+    assert any(x.n_near > x.n_items for x in out.collect())
+
+
+def test_one_id_for_two_texts(spark):
+    rows = [(7, "a b c d"), (7, "q q q q e f g h"), (8, "a b c d e f g h"), (8, "nothing here"), (None, "a b c d"), (None, "e f g h")]
+    items = [(1, "a b c d e f g h"), (2, "a b c d e f g h")]
+    df, it = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    cols = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert rows_of(decontaminate.decontaminate(df, it), *cols) == ordered(leak_rows(rows, items))
+    assert ordered((r.doc_id, r.text) for r in decontaminate.drop_contaminated(df, it).collect()) == ordered(rows[:2] + rows[3:])
 
 
 def _judge(url):
