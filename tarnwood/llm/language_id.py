@@ -8,11 +8,12 @@ and below the empty context every byte costs 8 bits. The exact code length of a
 The trees of all languages share one set of nodes. Node numbers of all positions come from `order + 1` table look-ups
 (node of the gram ending one byte earlier, next byte), so numpy scores whole batches of texts without a loop over bytes.
 
-Training reads a sample whose bound is documented: per language the documents of smallest hash, at most `train_docs` and
-`train_bytes` (whole texts). Everything else covers all rows.
+Training reads a sample whose bound is documented: per language rows of small hash, at most `train_docs` and `train_bytes`
+(whole texts). Everything else covers all rows.
 
 Cases: a null text and one without any letter are `und` with score 0; ties go to the language that sorts first; with no
-training rows every text is `und`; repeated rows each give a row; further columns are ignored."""
+training rows every text is `und`; repeated rows each give a row; a very long text is scored whole, as a batch of its own; empty
+tables give no rows; further columns are ignored."""
 
 from __future__ import annotations
 
@@ -115,16 +116,27 @@ class PPM:
         return bits
 
 
+def smallest_by_hash(rows: DataFrame, by: str, n: int) -> DataFrame:
+    """rows with columns `by` and h (a hash, evenly spread): at most about 2 n + 64 rows per value of `by` with the least h.
+
+    Rows are counted first and h bounds them in the scan, so that no task gathers what grows with the table; rows that
+    share a hash may exceed the bound until the last step, which counts them out."""
+    counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("of"))
+    share = F.least(F.lit(1.0), (2.0 * n + 64) / F.col("of"))
+    picked = rows.join(F.broadcast(stage(counts.select(by, (share * 2.0**63 * 2 - 2.0**63).alias("upto")), "counts", 1)), by).filter(F.col("h").cast("double") <= F.col("upto")).drop("upto")
+    part = picked.withColumn("part", F.row_number().over(Window.partitionBy(by, F.pmod("h", F.lit(16))).orderBy("h", "doc_id", "size"))).filter(F.col("part") <= n).drop("part")
+    return part.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy("h", "doc_id", "size"))).filter(F.col("rank") <= n)
+
+
 def train(docs: DataFrame, order: int = 3, train_docs: int = 400, train_bytes: int = 1_500_000, text_col: str = "text", lang_col: str = "lang") -> PPM:
-    """Fit on the bounded sample: the window's limit per language is applied before its shuffle."""
-    rows = docs.filter(~held_out() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select("doc_id", F.col(lang_col).alias("lang"), F.octet_length(text_col).alias("size"), F.xxhash64("doc_id").alias("h"))
-    w = Window.partitionBy("lang").orderBy("h", "doc_id", "size")
-    picked = rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= train_docs)
-    picked = picked.withColumn("before", F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).filter((F.col("before") + F.col("size") <= train_bytes) | (F.col("rank") == 1))
-    ids = F.broadcast(stage(picked.select("doc_id").distinct(), "sample"))  # at most train_docs per language
-    sample = docs.filter(~held_out() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).join(ids, "doc_id", "left_semi").select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), "doc_id")
+    """Fit on the bounded sample of rows: at most train_docs and train_bytes a language, the first of them in any case."""
+    learn = ~held_out() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()
+    rows = docs.filter(learn).select("doc_id", F.col(lang_col).alias("lang"), F.octet_length(text_col).alias("size"), F.xxhash64("doc_id").alias("h"), F.col(text_col).alias("text"))
+    picked = smallest_by_hash(rows, "lang", train_docs)
+    before = F.sum("size").over(Window.partitionBy("lang").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
+    picked = picked.withColumn("before", F.coalesce(before, F.lit(0))).filter((F.col("before") + F.col("size") <= train_bytes) | (F.col("rank") == 1))
     texts: dict[str, list[bytes]] = {}
-    for r in sorted(sample.collect(), key=lambda r: (r.lang, r.doc_id, r.text)):
+    for r in sorted(picked.select("lang", "doc_id", "text").collect(), key=lambda r: (r.lang, r.doc_id is not None, r.doc_id, r.text)):
         texts.setdefault(r.lang, []).append(r.text.encode())
     return PPM(texts, order)
 
@@ -149,7 +161,7 @@ def _predicted(m: PPM, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.nda
     return langs[np.where(letters, best, len(langs) - 1)], np.where(letters, score, 0.0), per
 
 
-def predict(docs: DataFrame, model: PPM, text_col: str = "text", batch_bytes: int = 1 << 19) -> DataFrame:
+def predict(docs: DataFrame, model: PPM, text_col: str = "text", batch_bytes: int = 1 << 18) -> DataFrame:
     """doc_id, held_out, lang_pred, score (posterior of the prediction under equal priors), bits_per_byte."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -161,7 +173,7 @@ def predict(docs: DataFrame, model: PPM, text_col: str = "text", batch_bytes: in
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
 
 
-def keep_known(docs: DataFrame, model: PPM, text_col: str = "text", batch_bytes: int = 1 << 19) -> DataFrame:
+def keep_known(docs: DataFrame, model: PPM, text_col: str = "text", batch_bytes: int = 1 << 18) -> DataFrame:
     """The rows of docs, with all their columns, whose predicted language is not und."""
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 

@@ -18,7 +18,8 @@ and ranks at the far end (joined spaces) as the last rank. Characters outside th
 
 Cases: null and empty texts have one empty segmentation of probability 1; texts with fewer than k segmentations give all
 they have, each with inclusion 1; rows that repeat a key and text give equal results; a null key counts as key 0;
-U+2581 in a text decodes to a space, as in the library; further columns are ignored."""
+U+2581 in a text decodes to a space, as in the library; a very long text is a batch of its own, in memory that grows with its
+length; empty tables give no rows; further columns are ignored."""
 
 from __future__ import annotations
 
@@ -338,7 +339,7 @@ SCHEMA = "doc_id long, sample int, ids array<int>, log_prob double, perturbed do
 DIGEST = "doc_id long, sample int, n_ids long, ids_sha256 string, log_prob double, perturbed double, inclusion double, decoded boolean"
 
 
-def sample_encode(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None, alpha: float = 1.0, seed: int = 0, digest: bool = False, batch_bytes: int = 1 << 20) -> DataFrame:
+def sample_encode(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None, alpha: float = 1.0, seed: int = 0, digest: bool = False, batch_bytes: int = 1 << 17) -> DataFrame:
     """Up to k different segmentations per row, best first. digest: give counts and a hash of the ids instead of the ids,
     and for the best segmentation whether the library decodes it to the text."""
     path = model_path or default_path()
@@ -379,7 +380,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
     def run(batches):
         sp = None
-        for batch in batches_by_bytes(batches, "text", 1 << 20):
+        for batch in batches_by_bytes(batches, "text", 1 << 18):
             if sp is None:
                 import sentencepiece
 

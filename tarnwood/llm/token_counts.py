@@ -7,7 +7,8 @@ libraries' character classes could differ are counted by the .json library itsel
 Batches are balanced by bytes. A text of over `split_bytes` is cut before a space between two other visible characters:
 the pattern always starts a new token there, so the sum over the parts is the count of the whole.
 
-Cases: null counts as empty (0 bytes, 0 tokens); repeated rows each give a row; further columns are ignored."""
+Cases: null counts as empty (0 bytes, 0 tokens); repeated rows each give a row; a text without a safe place is counted
+whole; empty tables give no rows; further columns are ignored."""
 
 from __future__ import annotations
 
