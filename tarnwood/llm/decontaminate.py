@@ -83,7 +83,13 @@ def _span(n):
 def matches(postings: DataFrame, ranked: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     """(doc, start, n, wid) of every exact occurrence of a window, and (doc, wid) of the windows with a proximity match."""
     reach = width + width // 2  # no stretch is longer
-    block = lambda pos: F.floor(pos / reach).cast("int")
+    size = 6 * reach
+    block = lambda pos: F.floor(pos / size).cast("int")
+
+    def blocks(pos):
+        """The block of a position, and the next one where that is within reach."""
+        at, b = F.pmod(pos, F.lit(size)), block(pos)
+        return F.explode(F.array_compact(F.array(b, F.when(at < reach, b - 1), F.when(at >= size - reach, b + 1)))).alias("block")
 
     def part(i: int, name: str) -> DataFrame:
         """The i-th rarest term of each window that has one."""
@@ -93,7 +99,7 @@ def matches(postings: DataFrame, ranked: DataFrame, width: int) -> tuple[DataFra
         """Places of windows of more than i words that have the i-th rarest term near by."""
         other = part(i, f"part{i}")
         lists = postings.join(small_side(other.select("term").distinct(), "terms"), "term", "left_semi").withColumnRenamed("pos", "at")
-        lists = lists.select("doc", "term", "at", F.explode(F.array(*(block(F.col("at")) + d for d in (-1, 0, 1)))).alias("block"))
+        lists = lists.select("doc", "term", "at", blocks(F.col("at")))
         need = places.join(other.drop("n", "off"), "wid").withColumn("block", block(F.col("pos")))
         close = need.join(lists, ["doc", "block", "term"]).filter((F.abs(F.col("at") - F.col("pos")) < _span(F.col("n"))) & (F.col("at") != F.col("pos")))
         return stage(close.select("doc", "pos", "off", "n", "wid").distinct(), f"near{i}")
@@ -106,7 +112,7 @@ def matches(postings: DataFrame, ranked: DataFrame, width: int) -> tuple[DataFra
     needs = F.transform(terms, lambda t: F.struct(t.alias("term"), F.size(F.filter("parts", lambda x: x["term"] == t)).alias("c")))
     parts = small_side(ranked.select("wid", F.transform("parts", lambda x: F.struct(x["off"].alias("off"), x["term"].alias("term"))).alias("parts"), needs.alias("needs")), "windows")
     need = rest.join(parts.select("wid", "needs"), "wid").select("doc", "pos", "off", "n", "wid", F.explode("needs.term").alias("term"))
-    need = need.select("*", F.explode(F.array(*(block(F.col("pos")) + d for d in (-1, 0, 1)))).alias("block"))
+    need = need.select("*", blocks(F.col("pos")))
     lists = postings.join(small_side(rest.select("doc").distinct(), "documents"), "doc", "left_semi").select("doc", "term", F.col("pos").alias("at"), block(F.col("pos")).alias("block"))
     seen = need.join(lists, ["doc", "block", "term"]).filter(F.abs(F.col("at") - F.col("pos")) < _span(F.col("n")))
     seen = seen.groupBy("doc", "pos", "off", "n", "wid").agg(F.collect_set(F.struct("at", "term")).alias("hits")).join(parts, "wid")
