@@ -4,13 +4,14 @@
 2. Anchors of all other documents: (hash, document, place). Hashes of two or more documents are kept (counts are summed
    before the shuffle) and joined back, which gives each document the places of its repeated anchors.
 3. Only the pieces of text at these places are cut out; equal pieces are combined to one with the least document.
-4. Pieces that share an anchor meet in one shard. An anchor with one piece needs no comparison: its windows start first in
-   the piece's least document. The others go to the operator's index, which returns for each window of each piece the
-   least document in which the window's content starts.
-5. These answers are joined to all documents that hold the piece; windows whose least document is smaller are covered.
+4. Pieces that share an anchor meet in one shard. The operator's index tells for each window of each piece whether its content
+   also starts in a document smaller than the piece's least one. An anchor with one piece needs no comparison.
+5. These answers are joined to all documents that hold the piece: in its least document the windows that were told are
+   covered, in any other document all windows are.
 
 Sizes: a hot passage is one piece with a count, not a list; joins on hashes are shuffled joins that Spark may split where a
-key is hot; per-document lists are bounded by the document. A shard keeps the different pieces of one anchor in memory."""
+key is hot; per-document lists are bounded by the document. A shard keeps the different pieces of one anchor in memory. Very long texts are
+cut into pieces like any others; memory for one text grows with its length."""
 
 from __future__ import annotations
 
@@ -26,11 +27,13 @@ from .windows import BYTE, pieces, word_symbols
 
 _NO_ID = -(2**63)
 #: Symbols of different pieces that one index is built over.
-CHUNK = 1 << 19
+CHUNK = {"bytes": 1 << 19, "words": 1 << 17}
 #: Bytes of merged spans that may be broadcast; beyond it they are joined by shuffle.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 4 << 20
+#: Low bits of a place that hold its number of windows.
+_COUNT = 24
 
-#: (symbols, starts, sizes, documents, width) -> per window in order of pieces: least document.
+#: (symbols, starts, sizes, documents, width) -> per window in order of pieces: does it start in a smaller document, too?
 Index = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]
 
 
@@ -55,6 +58,8 @@ def keyed(docs: DataFrame, text: Column, id_col: str) -> tuple[DataFrame, DataFr
 
 def covered_spans(rows: DataFrame, ids: DataFrame, index: Index, width: int = 50, unit: str = "bytes", k: int = 20) -> DataFrame:
     """rows and ids as keyed() gives them. Returns (key, spans): merged, disjoint spans of symbols in order as pairs of int32 in a binary."""
+    if not k <= width < 1 << _COUNT:
+        raise ValueError(f"width must be from {k} to {(1 << _COUNT) - 1}")
     spark = rows.sparkSession
     least = ids.groupBy("sha").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sha", "least")
     copies = small_side(ids.join(least, "sha").filter("doc > least").select("key").distinct(), "copies")
@@ -65,7 +70,7 @@ def covered_spans(rows: DataFrame, ids: DataFrame, index: Index, width: int = 50
             raw, ends = utf8(batch.column(2))
             sym, ends, _, _ = _symbols(raw, ends, unit)
             row, first, count, h, _ = pieces(sym, ends, width, k)
-            at = ((first - ends[row]) << 8) | count
+            at = ((first - ends[row]) << _COUNT) | count
             ids = pa.array(row)
             yield pa.record_batch([pa.array(h.view(np.int64)), batch.column(0).take(ids), batch.column(1).take(ids), pa.array(at)], names=["h", "doc", "key", "at"])
 
@@ -85,7 +90,7 @@ def covered_spans(rows: DataFrame, ids: DataFrame, index: Index, width: int = 50
             n = np.diff(np.asarray(lists.offsets))
             row = np.repeat(np.arange(batch.num_rows), n)
             at = np.asarray(flat.field(0))
-            first, count = at >> 8, at & 255
+            first, count = at >> _COUNT, at & ((1 << _COUNT) - 1)
             a = start[soff[row] + first]
             b = stop[soff[row] + first + count + width - 2]
             size = b - a
@@ -93,10 +98,10 @@ def covered_spans(rows: DataFrame, ids: DataFrame, index: Index, width: int = 50
             data = raw[np.repeat(a - off[:-1], size) + np.arange(off[-1])]
             content = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
             ids = pa.array(row)
-            yield pa.record_batch([flat.field(1), batch.column(0).take(ids), batch.column(1).take(ids), pa.array(first.astype(np.int32)), content], names=["h", "doc", "key", "first", "content"])
+            yield pa.record_batch([flat.field(1), batch.column(0).take(ids), batch.column(1).take(ids), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)), content], names=["h", "doc", "key", "first", "n", "content"])
 
     text = single.join(places, "key").select("doc", "key", "text", "places")
-    parts = stage(text.mapInArrow(cut, "h long, doc long, key long, first int, content binary").withColumn("sig", F.xxhash64("content")), "pieces")
+    parts = stage(text.mapInArrow(cut, "h long, doc long, key long, first int, n int, content binary").withColumn("sig", F.xxhash64("content")), "pieces")
     unique = parts.groupBy("h", "sig", "content").agg(F.min("doc").alias("doc"))
 
     def shard(batches):
@@ -115,9 +120,10 @@ def covered_spans(rows: DataFrame, ids: DataFrame, index: Index, width: int = 50
             yield from _answers(pa.Table.from_batches(held).combine_chunks(), index, width, unit)
 
     shards = unique.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "h").sortWithinPartitions("h", "doc", "sig")
-    answers = stage(shards.mapInArrow(shard, "h long, sig long, runs array<struct<a:int,b:int,least:long>>"), "answers")
-    hit = parts.select("h", "sig", "doc", "key", "first").join(answers.hint("shuffle_hash"), ["h", "sig"])
-    hit = hit.select("key", "first", F.filter("runs", lambda r: r["least"] < F.col("doc")).alias("runs")).filter("size(runs) > 0")
+    answers = stage(shards.mapInArrow(shard, "h long, sig long, least long, runs array<struct<a:int,b:int>>"), "answers")
+    hit = parts.select("h", "sig", "doc", "key", "first", "n").join(answers.hint("shuffle_hash"), ["h", "sig"])
+    whole = F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))
+    hit = hit.select("key", "first", F.when(F.col("doc") > F.col("least"), whole).otherwise(F.col("runs")).alias("runs")).filter("size(runs) > 0")
     spans = hit.select("key", F.explode("runs").alias("r"), "first").select("key", F.struct((F.col("first") + F.col("r.a")).alias("a"), (F.col("first") + F.col("r.b") + (width - 1)).alias("b")).alias("s"))
     lists = spans.groupBy("key").agg(F.sort_array(F.collect_list("s")).alias("s"))
     # all windows of an exact copy start in the document of least id; the end is past any text
@@ -126,33 +132,36 @@ def covered_spans(rows: DataFrame, ids: DataFrame, index: Index, width: int = 50
 
 
 def _answers(table: pa.Table, index: Index, width: int, unit: str):
-    """Runs of windows with one least document, per piece; pieces of one anchor stand together."""
+    """Runs of windows that start in a smaller document, too, per piece; pieces of one anchor stand together."""
     h, doc = np.asarray(table.column("h")), np.asarray(table.column("doc"))
     head = np.flatnonzero(np.diff(h, prepend=h[0] ^ 1))
     alone = np.repeat(np.diff(np.append(head, len(h))) == 1, np.diff(np.append(head, len(h))))
     content = table.column("content").combine_chunks().cast(pa.large_binary())
     raw, ends = utf8(content.view(pa.large_string()))
-    sym, ends, _, _ = _symbols(raw, ends, unit)
+    sym = raw
+    if unit == "words":
+        sym, ends, _, _ = word_symbols(raw, ends)
     size = np.diff(ends)
     windows = size - width + 1
     n_before = np.concatenate([[0], np.cumsum(windows)])
-    least = np.repeat(doc, windows)
+    found = np.zeros(int(n_before[-1]), bool)
     group = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(h))))
     many = np.flatnonzero(~alone)
-    chunk = np.cumsum(size[many]) // CHUNK
+    chunk = np.cumsum(size[many]) // CHUNK[unit]
     chunk = np.maximum.accumulate(chunk[np.searchsorted(group[many], group[many])]) if len(many) else chunk  # an anchor is not divided
     for c in np.unique(chunk):
         rows = many[chunk == c]
         got = index(sym, ends[rows], size[rows], doc[rows], width)
-        least[np.repeat(n_before[rows] - np.concatenate([[0], np.cumsum(windows[rows])[:-1]]), windows[rows]) + np.arange(windows[rows].sum())] = got
+        found[np.repeat(n_before[rows] - np.concatenate([[0], np.cumsum(windows[rows])[:-1]]), windows[rows]) + np.arange(windows[rows].sum())] = got
     piece = np.repeat(np.arange(len(h)), windows)
-    cut = np.flatnonzero((np.diff(piece, prepend=-1) != 0) | (np.diff(least, prepend=0) != 0))
+    cut = np.flatnonzero((np.diff(piece, prepend=-1) != 0) | (np.diff(found.astype(np.int8), prepend=-1) != 0))
     stop = np.append(cut[1:], len(piece))
+    cut, stop = cut[found[cut]], stop[found[cut]]
     base = n_before[piece[cut]]
-    runs = pa.StructArray.from_arrays([pa.array((cut - base).astype(np.int32)), pa.array((stop - base).astype(np.int32)), pa.array(least[cut])], names=["a", "b", "least"])
+    runs = pa.StructArray.from_arrays([pa.array((cut - base).astype(np.int32)), pa.array((stop - base).astype(np.int32))], names=["a", "b"])
     offsets = np.searchsorted(piece[cut], np.arange(len(h) + 1))
-    cols = [pa.array(h), table.column("sig").combine_chunks(), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), runs)]
-    yield from pa.table(cols, names=["h", "sig", "runs"]).to_batches(max_chunksize=1 << 14)
+    cols = [pa.array(h), table.column("sig").combine_chunks(), pa.array(doc), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), runs)]
+    yield from pa.table(cols, names=["h", "sig", "least", "runs"]).to_batches(max_chunksize=1 << 14)
 
 
 def _merged(batches):

@@ -1,14 +1,16 @@
 """Substring dedup: a compressed FM-index per shard tells which windows of words start in an earlier document.
 
 A shard's pieces (earlier_windows.py) are joined with end marks, their words numbered, and the suffix array's last column
-is kept in a wavelet matrix of packed bits with counts per 64 bits. Streamed windows are matched from their last word to
-their first: each step narrows an interval of the suffix order by two ranks per level of the matrix, for all windows of
-the shard together. matching_statistics() gives the length that is reached (at most the threshold) and the interval;
-intervals of length `width` are reported with the least document among their suffixes.
+is kept in a wavelet matrix of packed bits with counts per 64 bits. The documents' pieces are streamed against it, from each
+word to the left: each step narrows an interval of the suffix order by two ranks per level of the matrix, and the search of a
+word goes on while some suffix of the interval belongs to a smaller document (a range minimum over the suffixes' documents).
+So matching_statistics() gives, for each word of a document, the length of the longest match that ends there and also stands
+in an earlier document, up to the threshold; intervals of `width` words that reach it are reported.
 
 Cases: null has no words; documents of fewer than `width` words keep all; words are runs of characters other than
 [\\x20\\x09-\\x0D], compared by 64-bit hashes of their bytes; rows that repeat a doc_id are not earlier than each other, and
-each row is cut by its own text; a null doc_id counts as the smallest; empty tables give no rows."""
+each row is cut by its own text; a null doc_id counts as the smallest; very long texts are cut into pieces like any others;
+empty tables give no rows; further columns are ignored."""
 
 from __future__ import annotations
 
@@ -73,36 +75,51 @@ def suffix_array(ranks: np.ndarray) -> np.ndarray:
 
 
 class FMIndex:
-    """symbols: small integers from 2; 1 ends a piece, 0 ends the text. owner: a number per place of the text."""
+    """text: small integers from 2; 1 ends a piece, 0 ends the text. owner: the document of each place of the text."""
 
     def __init__(self, text: np.ndarray, owner: np.ndarray):
         order = suffix_array(text)
-        self.owner = owner[order]
         self.n, top = len(text), int(text.max())
         self.wavelet = Wavelet(text[order - 1], top)
         self.less = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=top + 1))])
+        self.docs, ranks = np.unique(owner, return_inverse=True)
+        self.least = [ranks[order].astype(np.int32)]  # least[i][j]: least document of 2**i suffixes from j on
+        while 2 << (len(self.least) - 1) <= self.n:
+            x, half = self.least[-1], 1 << (len(self.least) - 1)
+            self.least.append(np.minimum(x[:-half], x[half:]))
 
     def step(self, c, lo, hi):
         return self.less[c] + self.wavelet.rank(c, lo), self.less[c] + self.wavelet.rank(c, hi)
 
-    def matching_statistics(self, pattern: np.ndarray, stops: np.ndarray, limit: int):
-        """For each stop: how many symbols before it occur in the text in a row (at most limit, not before place 0), and
-        the interval of the suffixes that start with them."""
+    def least_document(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Rank of the least document among the suffixes of each interval (none is empty)."""
+        level = np.frexp(hi - lo)[1] - 1
+        out = np.empty(len(lo), np.int32)
+        for i in np.unique(level):
+            on = level == i
+            out[on] = np.minimum(self.least[i][lo[on]], self.least[i][hi[on] - (1 << i)])
+        return out
+
+    def matching_statistics(self, pattern: np.ndarray, stops: np.ndarray, limit: int, doc: np.ndarray) -> np.ndarray:
+        """For each stop in a document `doc`: how many symbols before it occur in a row in a smaller document (at most limit)."""
         lo, hi, length = np.zeros(len(stops), np.int64), np.full(len(stops), self.n, np.int64), np.zeros(len(stops), np.int64)
+        before = np.searchsorted(self.docs, doc)
         on = np.arange(len(stops))
         for d in range(1, limit + 1):
             on = on[stops[on] >= d]
-            if not len(on):
-                break
+            on = on[pattern[stops[on] - d] > 1]  # an end mark ends a match
             a, b = self.step(pattern[stops[on] - d], lo[on], hi[on])
             some = a < b
+            some[some] = self.least_document(a[some], b[some]) < before[on[some]]
             on = on[some]
+            if not len(on):
+                break
             lo[on], hi[on], length[on] = a[some], b[some], d
-        return length, lo, hi
+        return length
 
 
-def least_by_index(sym: np.ndarray, first: np.ndarray, size: np.ndarray, doc: np.ndarray, width: int) -> np.ndarray:
-    """Least document of each window of the pieces."""
+def earlier_by_index(sym: np.ndarray, first: np.ndarray, size: np.ndarray, doc: np.ndarray, width: int) -> np.ndarray:
+    """For each window of the pieces whether the matching statistics at its end reach the width."""
     total = int(size.sum())
     off = np.cumsum(size) - size
     _, ranks = np.unique(sym[np.repeat(first - off, size) + np.arange(total)], return_inverse=True)
@@ -110,20 +127,10 @@ def least_by_index(sym: np.ndarray, first: np.ndarray, size: np.ndarray, doc: np
     text = np.ones(total + len(size) + 1, np.int64)
     text[shifted] = ranks + 2
     text[-1] = 0
-    owner = np.append(np.repeat(doc, size + 1), np.iinfo(np.int64).max)
-    index = FMIndex(text, owner)
+    index = FMIndex(text, np.append(np.repeat(doc, size + 1), np.iinfo(np.int64).max))
     n = size - width + 1
     starts = np.repeat(off + np.arange(len(size)) - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    length, lo, hi = index.matching_statistics(text, starts + width, width)
-    if (length < width).any():
-        raise AssertionError("a window does not occur in its own shard")
-    # intervals of equal length are equal or disjoint
-    at, inv = np.unique(lo, return_inverse=True)
-    end = np.zeros(len(at), np.int64)
-    end[inv] = hi
-    cuts = np.stack([at, end], 1).ravel()
-    least = np.minimum.reduceat(np.append(index.owner, np.iinfo(np.int64).max), cuts)[::2]
-    return least[inv]
+    return index.matching_statistics(text, starts + width, width, np.repeat(doc, n)) >= width
 
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,stop:int>>"
@@ -133,7 +140,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
     """Per row: doc_id, n_words, n_removed, kept_sha256 of the kept words joined by one space, spans (word numbers)."""
     text = F.btrim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE, " "), F.lit(" "))
     rows, ids = keyed(docs, text, id_col)
-    spans = covered_spans(rows, ids, least_by_index, width, "words", k=20)
+    spans = covered_spans(rows, ids, earlier_by_index, width, "words", k=20)
 
     def apply(batches):
         for batch in batches_by_bytes(batches, "text", 1 << 20):

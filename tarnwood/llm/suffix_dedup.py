@@ -1,9 +1,10 @@
 """Suffix-array dedup: bytes of later copies go, the first copy stays.
 
-In each shard a suffix array orders the windows' suffixes of the pieces that share anchors. In that order the previous and
-the next smaller document of a suffix, and the common prefixes with both, give its longest previous factor: the longest
-match that starts in an earlier document. A window of `width` bytes is covered where that factor reaches `width`, and its
-least document is found by following previous and next smaller entries inside the run of suffixes with that common prefix.
+In each shard a suffix array orders the suffixes of the pieces that share anchors (prefix doubling from packed words of
+eight bytes). For each suffix the previous and the next one in that order that belong to a smaller document are found, and the
+longer of the common prefixes with both is its entry in the array of longest previous factors: the longest match that
+starts in an earlier document. A window of `width` bytes is covered where that factor reaches `width`. The factors are
+whole within their pieces; a longer match goes on in the next pieces.
 Everything before the shards (who may match whom) is in earlier_windows.py.
 
 Cases: null counts as empty; texts of fewer than `width` bytes keep all; rows that repeat a doc_id are not earlier than
@@ -23,63 +24,75 @@ from .common import batches_by_bytes, utf8
 from .earlier_windows import covered_spans, keyed, spans_of, with_spans
 
 
-def suffix_order(symbols: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the suffixes at `starts` by their first `width` symbols (all inside the text), by doubling of ranks; and
-    whether each has its first `width` symbols in common with the one before it."""
-    _, rank = np.unique(symbols, return_inverse=True)
-    rank = rank.astype(np.uint64)
-    size = 1
-    while 2 * size <= width:
-        rank = _joint(rank, size)
-        size *= 2
-    a, b = rank[starts], rank[starts + (width - size)]
-    key = a * (rank.max() + np.uint64(1) if len(rank) else np.uint64(1)) + b
-    order = np.argsort(key, kind="stable")
-    same = np.concatenate([[False], key[order][1:] == key[order][:-1]]) if len(order) else np.zeros(0, bool)
-    return order, same
-
-
-def _joint(rank: np.ndarray, size: int) -> np.ndarray:
-    """Rank of twice as many symbols; past the end the last rank repeats, where no window looks."""
-    nxt = np.concatenate([rank[size:], np.zeros(min(size, len(rank)), np.uint64)])
-    key = rank * (rank.max() + np.uint64(1)) + nxt
-    order = np.argsort(key, kind="stable")
-    out = np.empty(len(rank), np.uint64)
-    out[order] = np.cumsum(np.concatenate([[0], key[order][1:] != key[order][:-1]])).astype(np.uint64)
+#: Ends a piece: no text has this byte, since it does not occur in UTF-8.
+END = 0xFF
+
+
+def suffix_ranks(text: np.ndarray, longest: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """The eight bytes from each place on as one number, and (size, ranks of the `size` bytes from each place on) from
+    8 bytes by doubling up to more than `longest`. Ends are padded by END."""
+    padded = np.concatenate([text, np.full(8, END, np.uint8)]).astype(np.uint64)
+    words = np.zeros(len(text), np.uint64)
+    for i in range(8):
+        words = (words << np.uint64(8)) | padded[i : i + len(text)]
+    ranks, size, key = [], 8, words
+    while True:
+        order = np.argsort(key, kind="stable")
+        rank = np.empty(len(text), np.int64)
+        rank[order] = np.cumsum(np.concatenate([[0], key[order][1:] != key[order][:-1]]))
+        ranks.append((size, rank))
+        if size > longest:
+            return words, ranks
+        nxt = np.concatenate([rank[size:], np.full(min(size, len(rank)), rank.max() + 1)])
+        key, size = rank * (rank.max() + 2) + nxt, 2 * size
+
+
+def common_prefix(words: np.ndarray, ranks: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bytes that the suffixes at a and b have in common (less than twice the largest size)."""
+    n, size = len(words), np.zeros(len(a), np.int64)
+    for step, rank in reversed(ranks):
+        x, y = a + size, b + size
+        on = (x < n) & (y < n)
+        on[on] = rank[x[on]] == rank[y[on]]
+        size[on] += step
+    x, y = np.minimum(a + size, n - 1), np.minimum(b + size, n - 1)
+    differ = words[x] ^ words[y]
+    for i in range(1, 8):  # equal bytes before the first that differs
+        size += differ < np.uint64(1) << np.uint64(64 - 8 * i)
+    return size
+
+
+def longest_previous_factors(text: np.ndarray, starts: np.ndarray, left: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For the suffixes at `starts` (left: bytes to the end of their piece, doc: their document): the longest common prefix
+    with one of them of a smaller document."""
+    words, ranks = suffix_ranks(text, int(left.max(initial=0)))
+    order = np.argsort(ranks[-1][1][starts], kind="stable")
+    at, rest, docs = starts[order], left[order], doc[order]
+    factor = np.zeros(len(order), np.int64)
+    before, after = smaller_before(docs), len(order) - 1 - smaller_before(docs[::-1])[::-1]
+    for other, some in ((before, before >= 0), (after, after < len(order))):
+        i, j = np.flatnonzero(some), other[some]
+        factor[i] = np.maximum(factor[i], np.minimum(common_prefix(words, ranks, at[i], at[j]), np.minimum(rest[i], rest[j])))
+    out = np.empty(len(order), np.int64)
+    out[order] = factor
     return out
 
 
-def least_by_suffixes(sym: np.ndarray, first: np.ndarray, size: np.ndarray, doc: np.ndarray, width: int) -> np.ndarray:
-    """Least document of each window of the pieces, by previous and next smaller entries in suffix order."""
-    total = int(size.sum())
-    off = np.cumsum(size) - size
-    local = sym[np.repeat(first - off, size) + np.arange(total)]
+def earlier_by_suffixes(text: np.ndarray, first: np.ndarray, size: np.ndarray, doc: np.ndarray, width: int) -> np.ndarray:
+    """For each window of the pieces whether its longest previous factor reaches the width."""
+    off = np.cumsum(size + 1) - size - 1  # each piece and its end mark
+    local = np.full(int((size + 1).sum()), END, np.uint8)
+    within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    local[np.repeat(off, size) + within] = text[np.repeat(first, size) + within]
     n = size - width + 1
-    starts = np.repeat(off - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    order, same = suffix_order(local, starts, width)
-    docs = np.repeat(doc, n)[order]
-    run = np.cumsum(~same)  # suffixes whose common prefix reaches the width
-    # The least document of a run is an entry with no smaller one on either side within the run.
-    head = np.flatnonzero(~same)
-    lowest = run - 1
-    before = _smaller_in_run(docs, run)
-    after = len(order) - 1 - _smaller_in_run(docs[::-1], run[::-1])[::-1]
-    alone = (before < 0) & (after >= len(order))  # no longest previous factor of that length
-    best = np.zeros(len(head), np.int64)
-    best[lowest[alone]] = docs[alone]  # equal documents share the value
-    out = np.empty(len(order), np.int64)
-    out[order] = best[lowest]
-    return out
+    number = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    return longest_previous_factors(local, np.repeat(off, n) + number, np.repeat(size, n) - number, np.repeat(doc, n)) >= width
 
 
-def _smaller_in_run(values: np.ndarray, run: np.ndarray) -> np.ndarray:
-    """Index of the nearest smaller entry before each one in its run, -1 if none; pointers jump along found answers."""
+def smaller_before(values: np.ndarray) -> np.ndarray:
+    """Index of the nearest smaller entry before each one, -1 if none; pointers jump along found answers."""
     n = len(values)
     out = np.arange(-1, n - 1)
-    if not n:
-        return out
-    out[1:][run[1:] != run[:-1]] = -1
-    out[0] = -1
     todo = np.flatnonzero((out >= 0) & (values[np.maximum(out, 0)] >= values))
     while len(todo):
         out[todo] = out[out[todo]]
@@ -93,7 +106,7 @@ SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte offsets)."""
     rows, ids = keyed(docs, F.coalesce(F.col(text_col), F.lit("")), id_col)
-    spans = covered_spans(rows, ids, least_by_suffixes, width, "bytes", k=20)
+    spans = covered_spans(rows, ids, earlier_by_suffixes, width, "bytes", k=20)
 
     def apply(batches):
         for batch in batches_by_bytes(batches, "text", 1 << 20):

@@ -48,6 +48,11 @@ def test_suffix_text_without_spans(docs):
     assert got[3] == "" and len(got[1]) > 200 and "quick" not in got[11]
 
 
+def test_spans_joined_by_shuffle(docs, monkeypatch):
+    monkeypatch.setattr("tarnwood.llm.earlier_windows.BROADCAST_BYTES", 0)
+    assert rows_of(suffix_dedup.remove_repeats(docs), *SUFFIX) == ordered(suffix_rows(pairs(docs)))
+
+
 def test_fm(docs):
     assert rows_of(fm_dedup.remove_repeats(docs), *WORDS) == ordered(fm_rows(pairs(docs)))
 
@@ -152,18 +157,55 @@ def test_empty_table(op, none):
     assert op(none).count() == 0
 
 
-def test_suffix_order_and_smaller_entries():
-    text = np.frombuffer(b"banana$banana#", np.uint8)
-    order, same = suffix_dedup.suffix_order(text.astype(np.uint64), np.array([0, 1, 7, 8]), 5)
-    assert order.tolist() == [1, 3, 0, 2] and same.tolist() == [False, True, False, True]
-    v, run = np.array([3, 1, 2, 2, 0, 5]), np.array([1, 1, 1, 1, 2, 2])
-    assert suffix_dedup._smaller_in_run(v, run).tolist() == [-1, -1, 1, 1, -1, 4]
-
-
-def test_fm_index_counts():
-    text = np.array([2, 3, 2, 3, 4, 1, 3, 4, 1, 0])
-    index = fm_dedup.FMIndex(text, np.arange(len(text)))
-    length, lo, hi = index.matching_statistics(np.array([3, 4, 9, 2, 3]) % 5, np.array([2, 5]), 4)
-    assert length.tolist() == [2, 2] or length[0] == 2
-    n, lo, hi = index.matching_statistics(np.array([3, 4]), np.array([2]), 2)
-    assert n[0] == 2 and hi[0] - lo[0] == 2
+def test_longest_previous_factors():
+    r = random.Random(2)
+    pieces = ["".join(r.choice("ab") for _ in range(r.randrange(1, 60))).encode() for _ in range(40)]
+    text = np.frombuffer(b"".join(p + b"\xff" for p in pieces), np.uint8)
+    at = np.cumsum([0] + [len(p) + 1 for p in pieces[:-1]])
+    doc = np.array([r.randrange(12) for _ in pieces])
+    starts = np.concatenate([a + np.arange(len(p)) for a, p in zip(at, pieces)])
+    left = np.concatenate([len(p) - np.arange(len(p)) for p in pieces])
+    owner = np.repeat(doc, [len(p) for p in pieces])
+    got = suffix_dedup.longest_previous_factors(text, starts, left, owner)
+    tails = [(d, p[i:]) for d, p in zip(doc, pieces) for i in range(len(p))]
+
+    def both(x, y):
+        n = 0
+        while n < min(len(x), len(y)) and x[n] == y[n]:
+            n += 1
+        return n
+
+    assert got.tolist() == [max([both(x, y) for e, y in tails if e < d], default=0) for d, x in tails]
+    assert suffix_dedup.smaller_before(np.array([3, 1, 2, 2, 0, 5])).tolist() == [-1, -1, 1, 1, -1, 4]
+
+
+def test_matching_statistics():
+    r = random.Random(6)
+    pieces = [[r.randrange(2, 5) for _ in range(r.randrange(1, 30))] for _ in range(15)]
+    doc = [r.randrange(6) for _ in pieces]
+    text = np.array([x for p in pieces for x in [*p, 1]] + [0])
+    owner = np.array([d for d, p in zip(doc, pieces) for _ in range(len(p) + 1)] + [99])
+    index = fm_dedup.FMIndex(text, owner)
+    stops = np.array([sum(len(q) + 1 for q in pieces[:i]) + j for i, p in enumerate(pieces) for j in range(1, len(p) + 1)])
+    who = np.array([d for d, p in zip(doc, pieces) for _ in p])
+
+    def longest(p, j, d, limit):
+        inside = lambda w: any(w == q[i : i + len(w)] for e, q in zip(doc, pieces) if e < d for i in range(len(q)))
+        return max([n for n in range(1, min(j, limit) + 1) if inside(p[j - n : j])], default=0)
+
+    want = [longest(p, j, d, 7) for d, p in zip(doc, pieces) for j in range(1, len(p) + 1)]
+    got = index.matching_statistics(text, stops, 7, who)
+    assert got.tolist() == want and 0 < sum(0 < x < 7 for x in want)
+
+
+def test_wide_windows(spark):
+    """More windows in a piece than eight bits number; widths that are too small are refused."""
+    r = random.Random(9)
+    long = "".join(r.choice("abcdefgh ") for _ in range(2000))
+    rows = [(1, long), (2, "x" + long[100:1500] + "y"), (3, long[300:1900]), (4, "z" + long[:290])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(suffix_dedup.remove_repeats(df, width=300), *SUFFIX) == ordered(suffix_rows(rows, 300))
+    words = [(i, " ".join(t.replace(" ", "q"))) for i, t in rows]
+    assert rows_of(fm_dedup.remove_repeats(spark.createDataFrame(words, "doc_id long, text string"), width=300), *WORDS) == ordered(fm_rows(words, 300))
+    with pytest.raises(ValueError):
+        suffix_dedup.remove_repeats(df, width=10)
