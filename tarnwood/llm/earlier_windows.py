@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, batches_by_bytes, small_side, stage, unstage, utf8
+from .common import batches_by_bytes, small_side, stage, unstage, utf8
 from .windows import BYTE, pieces, word_symbols
 
 _NO_ID = -(2**63)
 #: Symbols of different pieces that one index is built over.
 CHUNK = {"bytes": 1 << 19, "words": 1 << 17}
-#: Bytes of merged spans that may be broadcast; beyond it they are joined by shuffle.
-BROADCAST_BYTES = 4 << 20
+#: Bytes of merged spans, and rows of them, that may be broadcast; beyond it they are joined by shuffle.
+BROADCAST_BYTES, BROADCAST_SPANS = 4 << 20, 20_000
 #: Low bits of a place that hold its number of windows.
 _COUNT = 24
 
@@ -70,14 +70,14 @@ def covered_spans(rows: DataFrame, ids: DataFrame, index: Index, width: int = 50
             raw, ends = utf8(batch.column(2))
             sym, ends, _, _ = _symbols(raw, ends, unit)
             row, first, count, h, _ = pieces(sym, ends, width, k)
-            at = ((first - ends[row]) << _COUNT) | count
-            ids = pa.array(row)
-            yield pa.record_batch([pa.array(h.view(np.int64)), batch.column(0).take(ids), batch.column(1).take(ids), pa.array(at)], names=["h", "doc", "key", "at"])
+            ids, at = pa.array(row), (first - ends[row]).astype(np.int32)
+            yield pa.record_batch([pa.array(h.view(np.int64)), batch.column(0).take(ids), batch.column(1).take(ids), pa.array(at), pa.array(count.astype(np.int32))], names=["h", "doc", "key", "first", "n"])
 
-    found = stage(single.mapInArrow(anchors, "h long, doc long, key long, at long"), "anchors")
+    found = stage(single.mapInArrow(anchors, "h long, doc long, key long, first int, n int"), "anchors")
     # staged by itself: its shuffle files go before the join needs room, and Spark can split the join where a hash is hot
     again = stage(found.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("h"), "again")
-    places = stage(found.join(again.hint("shuffle_hash"), "h").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("at", "h"))).alias("places")), "places")
+    at = F.shiftleft(F.col("first").cast("long"), _COUNT).bitwiseOR(F.col("n").cast("long")).alias("at")
+    places = stage(found.select("h", "key", at).join(again.hint("shuffle_hash"), "h").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("at", "h"))).alias("places")), "places")
     unstage(found)
     unstage(again)
 
@@ -194,5 +194,5 @@ def spans_of(blob: bytes | None, size: int) -> np.ndarray:
 def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
     """Left join by key: broadcast within a checked size, else by shuffle."""
     n, size = spans.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("spans")), F.lit(0))).first()
-    return rows.join(F.broadcast(spans) if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES else spans, "key", "left")
+    return rows.join(F.broadcast(spans) if n <= BROADCAST_SPANS and size <= BROADCAST_BYTES else spans, "key", "left")
 
