@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches_by_bytes, stage, utf8
+from .common import batches_by_bytes, smallest_by_hash, utf8
 
 UND = "und"
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double"
@@ -116,18 +116,6 @@ class PPM:
         return bits
 
 
-def smallest_by_hash(rows: DataFrame, by: str, n: int) -> DataFrame:
-    """rows with columns `by` and h (a hash, evenly spread): at most about 2 n + 64 rows per value of `by` with the least h.
-
-    Rows are counted first and h bounds them in the scan, so that no task gathers what grows with the table; rows that
-    share a hash may exceed the bound until the last step, which counts them out."""
-    counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("of"))
-    share = F.least(F.lit(1.0), (2.0 * n + 64) / F.col("of"))
-    picked = rows.join(F.broadcast(stage(counts.select(by, (share * 2.0**63 * 2 - 2.0**63).alias("upto")), "counts", 1)), by).filter(F.col("h").cast("double") <= F.col("upto")).drop("upto")
-    part = picked.withColumn("part", F.row_number().over(Window.partitionBy(by, F.pmod("h", F.lit(16))).orderBy("h", "doc_id", "size"))).filter(F.col("part") <= n).drop("part")
-    return part.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy("h", "doc_id", "size"))).filter(F.col("rank") <= n)
-
-
 def train(docs: DataFrame, order: int = 3, train_docs: int = 400, train_bytes: int = 1_500_000, text_col: str = "text", lang_col: str = "lang") -> PPM:
     """Fit on the bounded sample of rows: at most train_docs and train_bytes a language, the first of them in any case."""
     learn = ~held_out() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()

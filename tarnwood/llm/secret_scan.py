@@ -4,13 +4,16 @@ Base spans: `assign` (a credential word, a separator and a value of 8 or more ch
 leftmost and without overlap per kind; matches that fail their length test are dropped after they were consumed.
 
 The method adds `markov` spans: maximal runs of token characters of 16 or more that hold a letter and a digit and that no
-base span touches are scored by two character Markov models of order 2, one trained on random strings and one on
-identifiers; the log-likelihood ratio per character decides. Training samples are labelled: random strings come from a
-seeded generator over the alphabets that keys use, identifiers from a bounded sample of words and joined words of the
-corpus (`train_docs` documents of smallest hash, whole texts); a run that a base pattern marks is never an identifier.
+base span touches are scored by two character Markov models of order 2, one of random strings and one of identifiers; the
+log-likelihood ratio per character decides. The samples are labelled: random strings come from a seeded generator over the
+alphabets that keys use and from the values that base patterns mark in a bounded sample of documents (`train_docs` rows of
+small hash, whole texts); identifiers are that sample's other words (at most `max_words`, evenly thinned) and joined words
+as programs write them. A quarter of either label is not learned from: the margin is the least at which at most `most_false`
+of its identifiers pass, and the scanner tells precision and recall on it.
 
 Cases: null counts as empty; offsets are code points, end exclusive; repeated rows each give a row; with no documents to
-train on, identifiers are modelled by the smoothing prior alone; further columns are ignored."""
+train on, identifiers are modelled by the smoothing prior alone and the margin is `margin`; very long texts are scanned whole;
+empty tables give no rows; further columns are ignored."""
 
 from __future__ import annotations
 
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_by_bytes, stage
+from .common import batches_by_bytes, smallest_by_hash
 
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -77,9 +80,15 @@ def random_strings(n: int = 6000, seed: int = 7) -> list[str]:
     return ["".join(rng.choice(list(sets[i % len(sets)]), int(rng.integers(16, 65)))) for i in range(n)]
 
 
+def _judged(s: str) -> bool:
+    """Only strings with a letter and a digit are scored."""
+    return len(s) >= 16 and bool(re.search("[0-9]", s) and re.search("[A-Za-z]", s))
+
+
 class Scanner:
     def __init__(self, random: Markov, ordinary: Markov, margin: float = 0.5):
         self.random, self.ordinary, self.margin = random, ordinary, margin
+        self.precision = self.recall = float("nan")  # on the labelled strings kept for the margin
 
     def ratio(self, s: str) -> float:
         """Log-likelihood ratio per character, in nats; positive speaks for a random string."""
@@ -90,7 +99,7 @@ class Scanner:
         out = []
         for m in RUN.finditer(text):
             s, (a, b) = m.group(), m.span()
-            if any(x < b and a < y for x, _, y in base) or not re.search("[0-9]", s) or not re.search("[A-Za-z]", s):
+            if any(x < b and a < y for x, _, y in base) or not _judged(s):
                 continue
             if self.ratio(s) > self.margin:
                 out.append((a, 3, b))
@@ -105,19 +114,35 @@ def told(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def train(docs: DataFrame, text_col: str = "text", train_docs: int = 300, max_words: int = 60_000) -> Scanner:
-    ids = F.broadcast(stage(docs.filter(F.col(text_col).isNotNull()).select("doc_id", F.xxhash64("doc_id").alias("h")).distinct().orderBy("h", "doc_id").limit(train_docs).select("doc_id"), "sample"))
-    words: list[str] = []
-    for r in sorted(docs.join(ids, "doc_id", "left_semi").select("doc_id", F.col(text_col).alias("text")).filter("text is not null").collect(), key=lambda r: (r.doc_id, r.text)):
-        base = base_spans(r.text)
-        words += [m.group() for m in re.finditer(r"[A-Za-z0-9_-]+", r.text) if not any(a < m.end() and m.start() < b for a, _, b in base) and not (len(m.group()) >= 16 and re.search("[0-9]", m.group()))]
-    words = words[:: max(1, len(words) // max_words)]
-    rng = np.random.default_rng(11)
-    joined = []
+def labelled(texts: list[str], max_words: int) -> tuple[list[str], list[str]]:
+    """(random strings, identifiers) of the generator and of sample texts."""
+    random, words = random_strings(), []
+    for t in texts:
+        base = base_spans(t)
+        values = [max(RUN.findall(t[a:b]), key=len, default="") for a, _, b in base]
+        random += [v for v in values if _judged(v)]
+        words += [m.group() for m in re.finditer(r"[A-Za-z0-9_-]+", t) if not any(a < m.end() and m.start() < b for a, _, b in base) and not (len(m.group()) >= 16 and re.search("[0-9]", m.group()))]
+    words = words[:: max(1, -(-len(words) // max_words))]
+    rng, joined = np.random.default_rng(11), []
     for i in range(0, max(0, len(words) - 4), 3):  # identifiers: words joined as programs join them, some with numbers
         w = words[i : i + 3]
         joined += ["_".join(w), "-".join(w), "".join(x.capitalize() for x in w), f"{'_'.join(w)}_{int(rng.integers(0, 10000))}"]
-    return Scanner(Markov(random_strings()), Markov(words + joined))
+    return random, words + joined
+
+
+def train(docs: DataFrame, text_col: str = "text", train_docs: int = 300, max_words: int = 60_000, most_false: float = 0.001, margin: float = 0.5) -> Scanner:
+    rows = docs.filter(F.col(text_col).isNotNull()).select("doc_id", F.lit(0).alias("all"), F.octet_length(text_col).alias("size"), F.xxhash64("doc_id").alias("h"), F.col(text_col).alias("text"))
+    sample = smallest_by_hash(rows, "all", train_docs).select("doc_id", "text").collect()
+    texts = [r.text for r in sorted(sample, key=lambda r: (r.doc_id is not None, r.doc_id, r.text))]
+    random, ordinary = labelled(texts, max_words)
+    learn = lambda x: [s for i, s in enumerate(x) if i % 4]
+    out = Scanner(Markov(learn(random)), Markov(learn(ordinary)), margin)
+    good, bad = ([out.ratio(s) for s in x[::4] if _judged(s) and RUN.fullmatch(s)] for x in (random, ordinary))
+    if bad:
+        out.margin = max(0.0, float(np.quantile(bad, 1 - most_false, method="higher")))
+        hits, false = sum(x > out.margin for x in good), sum(x > out.margin for x in bad)
+        out.recall, out.precision = hits / len(good), hits / max(hits + false, 1)
+    return out
 
 
 def scan_secrets(docs: DataFrame, scanner: Scanner, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -126,7 +151,7 @@ def scan_secrets(docs: DataFrame, scanner: Scanner, id_col: str = "doc_id", text
 
     def run(batches):
         s = shared.value
-        for batch in batches_by_bytes(batches, "text", 1 << 20):
+        for batch in batches_by_bytes(batches, "text", 1 << 18):
             rows = []
             for text in batch.column(1).to_pylist():
                 base, spans = s.scan(text or "")

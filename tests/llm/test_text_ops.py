@@ -10,6 +10,7 @@ import pytest
 from brute import leak_rows, ordered, rows_of, words7
 from pyspark.sql import functions as F
 
+from tarnwood.llm.common import smallest_by_hash
 from tarnwood.llm import decontaminate, language_id, secret_scan, spm_lattice, token_counts, url_filter
 
 
@@ -96,7 +97,7 @@ def test_training_is_bounded_by_rows(spark):
     rows = [(1, f"abc{i}", "x") for i in range(3000)] + [(i, f"text {i}", "y") for i in range(2, 900)] + [(None, "zzz", "y")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     h = df.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"), F.octet_length("text").alias("size"))
-    got = {r.lang: r.n for r in language_id.smallest_by_hash(h, "lang", 50).groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    got = {r.lang: r.n for r in smallest_by_hash(h, "lang", 50).groupBy("lang").agg(F.count("*").alias("n")).collect()}
     assert got["y"] == 50 and got.get("x", 0) <= 50
     a, b = language_id.train(df, train_docs=50), language_id.train(df.repartition(7), train_docs=50)
     assert a.langs == b.langs and all((x == y).all() for x, y in zip(a.cost, b.cost))
@@ -133,10 +134,18 @@ def test_random_strings_are_told_from_identifiers():
     hits = sum(s.ratio(k) > s.margin for k in keys)
     false = sum(s.ratio(f"{a}_{b}_{n}") > s.margin for a, b in itertools.product(["reader", "table", "value"], repeat=2) for n in (1, 25))
     assert hits > 190 and false == 0
+    docs = [" ".join(words), "token = Zx81kPq0Lm55TgVb72Qw and more words"]
+    random, ordinary = secret_scan.labelled(docs, 1000)
+    assert "Zx81kPq0Lm55TgVb72Qw" in random and "reader" in ordinary and not any("Zx81" in x for x in ordinary)
     spans = s.scan("key Zx81kPq0Lm55TgVb72Qw end table_value_index_25")[1]
     assert [k for _, k, _ in spans] == [3]
 
 
+def test_margin_is_calibrated_on_documents(spark):
+    s = secret_scan.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    assert s.precision > 0.99 and s.recall > 0.95 and 0 <= s.margin < 2
+
+
 def test_decontamination(spark, docs):
     items = [(1, "The QUICK brown fox jumps over the lazy dog near"), (2, "wise owls look on from tall old trees in the quiet"), (3, "one two three"), (4, ""), (5, None), (None, "a b c d e f g h i"), (6, "straße 中文字符 привет"), (7, "absent words only here"), (8, "three"), (9, "over the lazy")]
     df = spark.createDataFrame(items, "item_id long, text string")
@@ -212,11 +221,39 @@ def test_urls(spark):
 
 
 def test_mined_rules_block(spark):
-    urls = [f"http://s{i % 7}.spam.biz/deal/{i}?ref=x" if i % 3 == 0 else f"http://s{i % 7}.good.biz/deal/{i}?ref=x" for i in range(300)]
-    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(0, 300, 2)], "doc_id long, quality int, toxic int")
+    urls = [f"http://s{i % 7}.spam.biz/deal/{i}?ref=x" if i % 3 == 0 else f"http://s{i % 7}.good.biz/deal/{i}?ref=x" for i in range(600)]
+    pages = spark.createDataFrame(list(enumerate(urls, 5000)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(0, 600, 2)], "doc_id long, quality int, toxic int")
     out = url_filter.filter_urls(pages, labels, min_support=0.01).collect()
-    assert all((r.verdict == "block") == (r.page_id % 3 == 0) for r in out)
+    assert all((r.verdict == "block") == (r.page_id % 3 == 5000 % 3) for r in out)
+
+
+def test_mined_rules_on_pages(spark):
+    """Every rule that counting all token sets finds, and no other; some unlisted pages are decided by them."""
+    sf = "/root/testdata/sf0.1"
+    pages, labels = spark.read.parquet(f"{sf}/pages.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    lab = url_filter.labelled_urls(pages.select("page_id", "url"), labels, url_filter.url_number(F.col("url"))).cache()
+    rows = [(r.tokens, r.bad, r.held) for r in lab.collect()]
+    assert len(rows) > 900
+    n, share = sum(not h for *_, h in rows), np.mean([b for _, b, h in rows if not h])
+    held = np.mean([b for _, b, h in rows if h])
+    all_, bad = Counter(), Counter()
+    for t, b, h in rows:
+        if not h:
+            for k in range(1, len(t) + 1):
+                for x in itertools.combinations(sorted(t), k):
+                    all_[x] += 1
+                    bad[x] += b
+    want = {}
+    for x, c in bad.items():
+        fit = [b for t, b, h in rows if h and set(x) <= set(t)] if c >= max(math.ceil(0.002 * n), 15) and c >= 1.2 * share * all_[x] else []
+        if len(fit) >= 5 and np.mean(fit) > held:
+            want[x] = c / all_[x]
+    want = {x: c for x, c in want.items() if not any(set(y) < set(x) for y in want)}
+    got = {tuple(r.tokens): r.confidence for r in url_filter.mine_rules(lab).collect()}
+    assert want and got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in got)
+    out = url_filter.filter_urls(pages, labels).filter("rule is null").collect()
+    assert any(r.verdict == "block" for r in out) and all((r.verdict == "block") == (r.mined_rule is not None) for r in out)
 
 
 @pytest.fixture(scope="module")
