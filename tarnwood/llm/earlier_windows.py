@@ -28,8 +28,6 @@ from .windows import BYTE, pieces, word_symbols
 _NO_ID = -(2**63)
 #: Symbols of different pieces that one index is built over.
 CHUNK = {"bytes": 1 << 19, "words": 1 << 17}
-#: Bytes of merged spans, and rows of them, that may be broadcast; beyond it they are joined by shuffle.
-BROADCAST_BYTES, BROADCAST_SPANS = 4 << 20, 20_000
 #: Low bits of a place that hold its number of windows.
 _COUNT = 24
 
@@ -192,7 +190,5 @@ def spans_of(blob: bytes | None, size: int) -> np.ndarray:
 
 
 def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """Left join by key: broadcast within a checked size, else by shuffle."""
-    n, size = spans.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("spans")), F.lit(0))).first()
-    return rows.join(F.broadcast(spans) if n <= BROADCAST_SPANS and size <= BROADCAST_BYTES else spans, "key", "left")
-
+    """Left join by key, a shuffled one at every size unless Spark itself finds the spans small enough to broadcast."""
+    return rows.join(spans, "key", "left")

@@ -48,9 +48,15 @@ def test_suffix_text_without_spans(docs):
     assert got[3] == "" and len(got[1]) > 200 and "quick" not in got[11]
 
 
-def test_spans_joined_by_shuffle(docs, monkeypatch):
-    monkeypatch.setattr("tarnwood.llm.earlier_windows.BROADCAST_BYTES", 0)
-    assert rows_of(suffix_dedup.remove_repeats(docs), *SUFFIX) == ordered(suffix_rows(pairs(docs)))
+def test_spans_joined_by_shuffle(spark, docs):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        got = rows_of(suffix_dedup.remove_repeats(docs), *SUFFIX)
+    finally:
+        spark.conf.set(key, before)
+    assert got == ordered(suffix_rows(pairs(docs)))
 
 
 def test_fm(docs):
