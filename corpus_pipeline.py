@@ -13,27 +13,33 @@ from tarnwood.llm.common import stage, table
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a language (no letter, or null)."""
+    """Drop documents without a language: a null text, or one without any letter. Repeated rows are judged alike; very long texts
+    are scored whole; where no row has a language to learn from, all are without one; extra columns stay; no rows give none."""
     return language_id.keep_known(docs, language_id.train(docs))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row of least doc_id stays."""
+    """Of equal texts, the row of least doc_id stays; rows that repeat id and text stay together. Null counts as empty; a null id
+    stays only in a group without another; very long texts are compared whole; extra columns stay; no rows give none."""
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies, the document of least doc_id stays."""
+    """Of each class of near copies, the document of least doc_id stays (of several with that id, the text of least digest). A row
+    is known by id and words; texts without words are one class; a null id is the least; extra columns stay; no rows give none."""
     return near_dedup.drop_near_copies(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold windows of two or more benchmark items go."""
+    """Documents that hold windows of two or more benchmark items go. A row is known by id and text, so rows that repeat both go
+    together and another text of that id is judged for itself; null and empty texts stay; an empty benchmark keeps all; extra
+    columns stay; no rows give none."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def sample_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Two different segmentations of each text, with inclusion scores."""
+    """Two different segmentations of each text, with inclusion scores. Null and empty texts have one empty segmentation; texts
+    that can be cut in one way only give one row; repeated rows give equal rows; no rows give none."""
     return spm_lattice.sample_encode(docs, k=2)
 
 

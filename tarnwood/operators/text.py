@@ -56,10 +56,12 @@ def embed_words(vocab: DataFrame, shards: list[DataFrame], width: int, seed: int
     return vocab.join(best, "word", "left").select("id", "word", F.coalesce(special, "vec", noise(F.lit("shared"), -6.0, 0.0)).alias("vec"))
 
 
-def bm25_parts(toks: DataFrame, id_col: str = "doc_id", k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(id, word, weight): what one occurrence of the word in a query adds to the document's score."""
-    tf = toks.groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("tf"))
-    size = tf.groupBy(id_col).agg(F.sum("tf").alias("len"))
+def bm25_parts(toks: DataFrame, id_col: str = "doc_id", k1: float = 1.5, b: float = 0.75, only: DataFrame | None = None) -> DataFrame:
+    """(id, word, weight): what one occurrence of the word in a query adds to the document's score. only: (word) rows, the
+    words that are asked for; no other word is counted."""
+    asked = toks if only is None else toks.join(only.select("word").distinct(), "word", "left_semi")
+    tf = asked.groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("tf"))
+    size = toks.groupBy(id_col).agg(F.count(F.lit(1)).alias("len"))
     total = F.broadcast(size.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg")))  # one row
     df = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df")).crossJoin(total).select("word", "avg", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
     return tf.join(size, id_col).join(df, "word").select(id_col, "word", (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg")))).alias("weight"))
@@ -74,7 +76,8 @@ def bm25_scores(queries: DataFrame, parts: DataFrame, id_col: str = "doc_id") ->
 def keywords(toks: DataFrame, num: int, id_col: str = "doc_id") -> DataFrame:
     """(word, score, rank): (count + 1) / all counts times document frequency, of words seen more than once; ties by first
     appearance."""
-    per = toks.groupBy("word").agg(F.count(F.lit(1)).alias("cnt"), F.count_distinct(id_col).alias("df"), F.min(F.struct(id_col, "pos")).alias("first")).filter("cnt > 1")
+    one = toks.groupBy("word", id_col).agg(F.count(F.lit(1)).alias("cnt"), F.min("pos").alias("pos"))
+    per = one.groupBy("word").agg(F.sum("cnt").alias("cnt"), F.count(F.lit(1)).alias("df"), F.min(F.struct(id_col, "pos")).alias("first")).filter("cnt > 1")
     total = F.broadcast(per.agg(F.sum("cnt").alias("all")))  # one row
     scored = per.crossJoin(total).withColumn("score", F.round((F.col("cnt") + 1) / F.col("all") * F.col("df"), 9))
     top = scored.orderBy(F.desc("score"), "first").limit(num)
@@ -116,21 +119,27 @@ def lead_summary(docs: DataFrame, num: int = 3, id_col: str = "doc_id", text_col
 
 
 def keyword_summary(docs: DataFrame, num: int = 4, top: int = 20, gap: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, sent, score): per document the `num` best sentences. Keywords of the table stand in clusters (distance under
-    `gap`); a cluster of k over a span of e words scores k * k / e, a lone keyword 0.2; a sentence scores the sum of its
-    clusters over 51 - (length - 20) ** 2, floored at 1."""
-    toks = split_sentences(docs, id_col, text_col).select(id_col, "sent", F.posexplode(words(F.col("sentence"))).alias("pos", "word"))
-    keys = F.broadcast(keywords(toks, top, id_col).select("word"))  # `top` rows
-    length = toks.groupBy(id_col, "sent").agg(F.count(F.lit(1)).alias("len"))
-    hits = toks.join(keys, "word").select(id_col, "sent", "pos")
+    """(id, sent, score, rank): per document the `num` best sentences, ties by place.
+
+    The `top` keywords of the table weigh top + 1 down to 2. A sentence of one keyword scores 1 / its length. In any other one
+    keywords less than `gap` apart form clusters; a cluster of k over a span of e words scores k * k / e, of one (or no)
+    keyword 0.2. The last cluster and 0.7 times the keywords' weights are divided by 51 - (length - 20) ** 2, which is
+    negative for lengths further than 7 from 20; the clusters before it are added as they are."""
+    toks = split_sentences(docs, id_col, text_col).select(id_col, "sent", words(F.col("sentence")).alias("w"))
+    ranked = keywords(tokens(docs, id_col, text_col), top, id_col)
+    keys = F.broadcast(ranked.crossJoin(F.broadcast(ranked.agg(F.count(F.lit(1)).alias("all")))).select("word", (F.col("all") + 2 - F.col("rank")).alias("key_weight")))  # `top` rows
+    hits = toks.select(id_col, "sent", F.posexplode("w").alias("pos", "word")).join(keys, "word")
     w = Window.partitionBy(id_col, "sent").orderBy("pos")
     run = hits.withColumn("island", F.sum(F.when(F.col("pos") - F.lag("pos").over(w) >= gap, 1).otherwise(0)).over(w))
-    parts = run.groupBy(id_col, "sent", "island").agg(F.count(F.lit(1)).alias("k"), (F.max("pos") - F.min("pos")).alias("span"))
+    parts = run.groupBy(id_col, "sent", "island").agg(F.count(F.lit(1)).alias("k"), (F.max("pos") - F.min("pos")).alias("span"), F.sum("key_weight").alias("weight"))
     part = F.when(F.col("k") == 1, 0.2).otherwise(F.round(F.col("k") * F.col("k") / F.col("span"), 5))
-    total = parts.groupBy(id_col, "sent").agg(F.sum(part).alias("raw")).join(length, [id_col, "sent"])
-    scored = total.withColumn("score", F.round(F.col("raw") / F.greatest(51 - (F.col("len") - 20) * (F.col("len") - 20), F.lit(1)), 6))
+    found = parts.groupBy(id_col, "sent").agg(F.sum("k").alias("hits"), F.sum("weight").alias("weight"), F.sum(part).alias("all_parts"), F.max_by(part, "island").alias("last"))
+    length = F.size("w")
+    last, weight = F.coalesce("last", F.lit(0.2)), F.coalesce("weight", F.lit(0))
+    score = F.when(F.col("hits") == 1, F.round(1 / length, 5)).otherwise(F.coalesce(F.col("all_parts") - F.col("last"), F.lit(0.0)) + (last + 0.7 * weight) / (51 - (length - 20) * (length - 20)))
+    scored = toks.join(found, [id_col, "sent"], "left").select(id_col, "sent", F.round(score, 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("score"), "sent"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= num).select(id_col, "sent", "score", "rank")
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= num)
 
 
 def _rank_sentences(sents: list[list[str]], rounds: int = 20) -> np.ndarray:

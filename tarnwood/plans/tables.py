@@ -48,9 +48,14 @@ def profile_lineitem(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(profile.profile(table(spark, sf, "lineitem"), NUMERIC).withColumn("var", F.col("var") / 1000), 4)
 
 
-@query()
+@query(f"""
+WITH f AS ({_features(NUMERIC, 'lineitem')}), m AS (SELECT feature, avg(x) AS mu FROM f GROUP BY feature),
+s AS (SELECT f.feature, count(x) AS "count", avg((x - mu) ^ 3) / avg((x - mu) ^ 2) ^ 1.5 AS skew, avg((x - mu) ^ 4) / avg((x - mu) ^ 2) ^ 2 AS kurt FROM f JOIN m ON m.feature = f.feature GROUP BY f.feature)
+SELECT feature, "count", CASE WHEN skew > 0 THEN 'right' WHEN skew < 0 THEN 'left' ELSE 'none' END AS skew_text, abs(kurt - 3) > 2 AS peaked FROM s
+""")
 def profile_verdicts(spark, sf):
-    return profile.verdicts(profile.profile(table(spark, sf, "lineitem"), NUMERIC, approximate=True))
+    """Only the moments are computed: the verdicts need no order statistics."""
+    return profile.verdicts(profile.profile(table(spark, sf, "lineitem"), NUMERIC)).select("feature", "count", "skew_text", "peaked")
 
 
 @query()
@@ -340,7 +345,12 @@ def fp_leaf_paths(spark, sf):
     return mining.leaf_paths(mining.prefix_counts(mining.ordered_baskets(baskets(spark, sf)))).select(F.array_join("path", ",").alias("path"))
 
 
-@query()
+@query(f"""
+WITH {_ORDERED}, p AS (SELECT DISTINCT items[1:n] AS path FROM (SELECT items, unnest(range(1, len(items) + 1)) AS n FROM o)),
+l AS (SELECT path FROM p WHERE path NOT IN (SELECT path[1:len(path) - 1] FROM p WHERE len(path) > 1)),
+i AS (SELECT path, unnest(range(1, len(path) + 1)) AS i FROM l), a AS (SELECT path[i] AS item, unnest(list_distinct(path[1:i - 1])) AS ancestor FROM i WHERE i > 1)
+SELECT item, ancestor, count(*) AS paths FROM a GROUP BY ALL
+""")
 def fp_ancestors(spark, sf):
     return mining.ancestor_counts(mining.leaf_paths(mining.prefix_counts(mining.ordered_baskets(baskets(spark, sf)))))
 

@@ -50,7 +50,7 @@ sc AS (SELECT q_id, doc_id, sum(qtf * (ln(n - df + 0.5) - ln(df + 0.5)) * tf * 2
 
 def _scores(spark, sf):
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("q_id"), F.explode(tf.words(F.col("text"))).alias("word"))
-    return text.bm25_scores(items, text.bm25_parts(_tokens(spark, sf)))
+    return text.bm25_scores(items, text.bm25_parts(_tokens(spark, sf), only=items))
 
 
 @query(f"WITH {_BM} SELECT q_id, doc_id, round(score, 5) AS score FROM sc")
@@ -90,7 +90,18 @@ def summary_lead3(spark, sf):
     return text.lead_summary(table(spark, sf, "documents"))
 
 
-@query()
+@query(f"""
+WITH {_TOK}, p AS (SELECT word, count(*) AS cnt, count(DISTINCT doc_id) AS df, min((doc_id, pos)) AS first FROM tok GROUP BY word HAVING count(*) > 1),
+k AS (SELECT word, row_number() OVER (ORDER BY score DESC, first) AS rank FROM (SELECT word, first, round((cnt + 1) / (SELECT sum(cnt) FROM p) * df, 9) AS score FROM p)),
+kw AS (SELECT word, (SELECT least(count(*), 20) FROM p) + 2 - rank AS weight FROM k WHERE rank <= 20),
+s AS (SELECT doc_id, sent, regexp_extract_all(lower(sentence), '[\\p{{L}}'']+') AS w FROM (SELECT doc_id, unnest(range(0, len(s))) AS sent, unnest(s) AS sentence FROM (SELECT doc_id, regexp_split_to_array(text, '[.;]') AS s FROM documents))),
+h AS (SELECT doc_id, sent, pos, weight FROM (SELECT doc_id, sent, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM s) JOIN kw USING (word)),
+i AS (SELECT *, sum(CASE WHEN pos - before >= 5 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, sent ORDER BY pos) AS island FROM (SELECT *, lag(pos) OVER (PARTITION BY doc_id, sent ORDER BY pos) AS before FROM h)),
+c AS (SELECT doc_id, sent, island, k, weight, CASE WHEN k = 1 THEN 0.2 ELSE round(k * k / span, 5) END AS part FROM (SELECT doc_id, sent, island, CAST(count(*) AS DOUBLE) AS k, max(pos) - min(pos) AS span, sum(weight) AS weight FROM i GROUP BY ALL)),
+f AS (SELECT doc_id, sent, sum(k) AS hits, sum(weight) AS weight, sum(part) AS parts, arg_max(part, island) AS last FROM c GROUP BY ALL),
+r AS (SELECT s.doc_id, s.sent, round(CASE WHEN hits = 1 THEN round(1.0::DOUBLE / len(w), 5) ELSE coalesce(parts - last, 0) + (coalesce(last, 0.2) + 0.7::DOUBLE * coalesce(weight, 0)) / (51 - (len(w) - 20) * (len(w) - 20)) END, 6) AS score FROM s LEFT JOIN f USING (doc_id, sent))
+SELECT doc_id, CAST(sent AS INTEGER) AS sent, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, sent) AS rank FROM r) WHERE rank <= 4
+""")
 def summary_keyword(spark, sf):
     return text.keyword_summary(table(spark, sf, "documents"))
 
