@@ -339,7 +339,7 @@ SCHEMA = "doc_id long, sample int, ids array<int>, log_prob double, perturbed do
 DIGEST = "doc_id long, sample int, n_ids long, ids_sha256 string, log_prob double, perturbed double, inclusion double, decoded boolean"
 
 
-def sample_encode(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None, alpha: float = 1.0, seed: int = 0, digest: bool = False, batch_bytes: int = 1 << 17) -> DataFrame:
+def sample_encode(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None, alpha: float = 1.0, seed: int = 0, digest: bool = False, batch_bytes: int = 1 << 18) -> DataFrame:
     """Up to k different segmentations per row, best first. digest: give counts and a hash of the ids instead of the ids,
     and for the best segmentation whether the library decodes it to the text."""
     path = model_path or default_path()
