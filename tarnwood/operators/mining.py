@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import numbered_by_text
+
 
 def item_frequency(baskets: DataFrame) -> DataFrame:
     """(item, cnt): repeats inside a basket count."""
@@ -63,8 +65,8 @@ def frequent_sets(baskets: DataFrame, min_support: float = 0.05, min_confidence:
 
 def encode_triples(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(head, relation, tail) to entity(id, name) and relation(start_id, name, end_id); ids follow the names' order."""
-    names = triples.select(F.col("head").alias("name")).unionAll(triples.select(F.col("tail").alias("name"))).distinct()
-    entity = names.withColumn("id", F.dense_rank().over(Window.orderBy("name")))
+    names = triples.select(F.col("head").alias("name")).unionAll(triples.select(F.col("tail").alias("name"))).distinct().persist()
+    entity = numbered_by_text(names, F.col("name"), "id").withColumn("id", (F.col("id") + 1).cast("int"))
     start, end = entity.select(F.col("name").alias("head"), F.col("id").alias("start_id")), entity.select(F.col("name").alias("tail"), F.col("id").alias("end_id"))
     return entity.select("id", "name"), triples.join(start, "head").join(end, "tail").select("start_id", F.col("relation").alias("name"), "end_id")
 

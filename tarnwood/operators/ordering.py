@@ -32,6 +32,16 @@ def numbered(df: DataFrame, order: list[str], name: str = "pos", ranges: int = 6
     return cut.withColumn(name, (F.row_number().over(w) - 1 + _offsets(cut, F.lit(1))).cast("long")).drop("_range")
 
 
+def numbered_by_text(df: DataFrame, key: Column, name: str = "pos", ranges: int = 64) -> DataFrame:
+    """Add name: 0-based position in the order of a text. Ranges are cut at texts of a bounded sample (those of least hash), so
+    texts that share long beginnings are dealt as evenly as others. df is read three times; persist what is costly."""
+    rows = df.withColumn("_key", key)
+    sample = sorted(r["_key"] for r in rows.select("_key").filter("_key is not null").orderBy(F.xxhash64("_key"), "_key").limit(20 * ranges).collect())
+    cut = rows.withColumn("_range", sum((F.when(F.col("_key") > c, 1).otherwise(0) for c in sample[20::20]), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy("_key")) - 1 + _offsets(cut, F.lit(1))
+    return cut.withColumn(name, place.cast("long")).drop("_range", "_key")
+
+
 def average_ranks(df: DataFrame, col: str, name: str, ranges: int = 64) -> DataFrame:
     """Distinct values of col with their average rank: (count of smaller values) + (ties + 1) / 2."""
     counts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n"))

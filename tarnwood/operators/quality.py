@@ -131,3 +131,9 @@ def impute_knn(df: DataFrame, row: str, features: list[str], target: str, k: int
         return got.groupBy(F.col("q_id").alias(row)).agg(F.avg(target).alias(target))
     votes = got.groupBy("q_id", target).agg(F.count(F.lit(1)).alias("n"))
     return votes.groupBy(F.col("q_id").alias(row)).agg(F.min_by(target, F.struct(-F.col("n"), F.col(target))).alias(target))
+
+
+def write_back(df: DataFrame, filled: DataFrame, row: str, target: str) -> DataFrame:
+    """df with its missing targets taken from `filled` (row, target)."""
+    got = filled.select(row, F.col(target).alias("_filled"))
+    return df.join(got, row, "left").withColumn(target, F.coalesce(target, "_filled")).drop("_filled")

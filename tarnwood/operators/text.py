@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tarnwood.functions.text import sentences, words
 
+from .ordering import numbered_by_text
+
 SPECIAL = ["<pad>", "<s>", "</s>", "<unk>", "<mask>"]
 
 #: No cap on the vocabulary.
@@ -31,9 +33,9 @@ def vocabulary(toks: DataFrame, least: int = 10, special_count: int = 9999) -> D
     """(word, cnt, id): special tokens first with a fixed count, then words of at least `least`, by count and word."""
     spark = toks.sparkSession
     special = spark.createDataFrame([(w, special_count, i) for i, w in enumerate(SPECIAL)], "word string, cnt long, id int")
-    # the numbering reads one row per kept word, far fewer than tokens
-    kept = word_count(toks, least).filter(~F.col("word").isin(SPECIAL)).withColumn("id", (F.row_number().over(Window.orderBy(F.desc("cnt"), "word")) + len(SPECIAL) - 1).cast("int"))
-    return special.unionByName(kept)
+    kept = word_count(toks, least).filter(~F.col("word").isin(SPECIAL)).persist()  # one row per word, far fewer than tokens; read three times
+    order = F.concat(F.lpad((F.lit(10**15) - F.col("cnt")).cast("string"), 16, "0"), "word")  # by count, most first, then word
+    return special.unionByName(numbered_by_text(kept, order, "id").withColumn("id", (F.col("id") + len(SPECIAL)).cast("int")))
 
 
 def encode(toks: DataFrame, vocab: DataFrame, id_col: str = "doc_id", unknown: int = 3) -> DataFrame:
@@ -237,3 +239,11 @@ def topic_strengths(toks: DataFrame, k: int = 4, id_col: str = "doc_id", vocab_s
     svd = RowMatrix(sparse).computeSVD(k)
     sparse.unpersist()
     return toks.sparkSession.createDataFrame([(i, float(s)) for i, s in enumerate(svd.s.toArray())], "topic int, strength double")
+
+
+def sentence_distances(vectors: DataFrame, id_col: str = "doc_id", vec: str = "vec") -> DataFrame:
+    """(id, a, b, dist): Euclidean distances of the sentences of one document, both directions, as its matrix of similarity.
+    vectors: (id, sent, vec). The matrix is the result; its size is bounded by the square of a document's sentences."""
+    x, y = (vectors.select(id_col, F.col("sent").alias(n), F.col(vec).alias(f"_{n}")) for n in "ab")
+    d = F.sqrt(F.aggregate(F.zip_with("_a", "_b", lambda p, q: (p.cast("double") - q) * (p.cast("double") - q)), F.lit(0.0), lambda s, v: s + v))
+    return x.join(y, id_col).filter("a <> b").select(id_col, "a", "b", d.alias("dist"))

@@ -151,6 +151,33 @@ def seconds_to_time(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", tf.hms(F.col("o_totalprice")).alias("t")).select("o_orderkey", "t.*")
 
 
+_KINDS = "SELECT o_orderkey, o_orderkey % 4 AS k, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, o_orderkey % 24 AS h FROM orders"
+
+
+@query(f"""
+SELECT o_orderkey, CAST(CASE k WHEN 0 THEN 5 WHEN 1 THEN 4 WHEN 2 THEN 3 ELSE 2 END AS INTEGER) AS grade,
+ CASE k WHEN 0 THEN y || '-' || m || '-' || d || ',' || h || ':00' WHEN 1 THEN '2024-' || m || '-15,' WHEN 2 THEN '2024-5-' || d || ',' || h || ':30' ELSE '2024-5-15,' || h || ':00' END AS time
+FROM ({_KINDS})
+""")
+def time_expressions(spark, sf):
+    """Phrases of the orders' dates: their granularity and their time, told on 15 May 2024."""
+    o = table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") % 4).alias("k"), F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m"), F.dayofmonth("o_orderdate").alias("d"), (F.col("o_orderkey") % 24).alias("h"))
+    said = {0: F.format_string("%d年%d月%d日%d点", "y", "m", "d", "h"), 1: F.format_string("%d月", "m"), 2: F.format_string("%d号%d点30分", "d", "h"), 3: F.format_string("%d点", "h")}
+    phrase = F.coalesce(*(F.when(F.col("k") == k, e) for k, e in said.items()))
+    text_ = o.withColumn("found", tf.time_phrases(F.concat(F.lit("on "), phrase, F.lit(" it came")))[0])
+    return text_.select("o_orderkey", tf.time_grade(F.col("found")).alias("grade"), tf.phrase_time(F.col("found"), F.lit("2024-05-15").cast("date")).alias("time"))
+
+
+@query(f"""
+WITH {_TOK}, s AS (SELECT doc_id, sent, len(regexp_extract_all(lower(sentence), '[\\p{{L}}'']+')) AS n, length(sentence) AS c FROM (SELECT item_id AS doc_id, unnest(range(0, len(s))) AS sent, unnest(s) AS sentence FROM (SELECT item_id, regexp_split_to_array(text, '[.;]') AS s FROM benchmark)))
+SELECT x.doc_id, CAST(x.sent AS INTEGER) AS a, CAST(y.sent AS INTEGER) AS b, round(sqrt((x.n - y.n) * (x.n - y.n) + (x.c - y.c) * (x.c - y.c)), 6) AS dist FROM s x JOIN s y ON x.doc_id = y.doc_id AND x.sent <> y.sent
+""")
+def sentence_similarity(spark, sf):
+    """Distances of an item's sentences by their numbers of words and characters."""
+    s = text.split_sentences(table(spark, sf, "benchmark").withColumnRenamed("item_id", "doc_id"))
+    return rounded(text.sentence_distances(s.select("doc_id", "sent", F.array(F.size(tf.words(F.col("sentence"))), F.length("sentence")).cast("array<double>").alias("vec"))))
+
+
 @query()
 def hmm_segmentation(spark, sf):
     """Train on the benchmark's words; cut every document's words joined without spaces."""

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import time
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,5 +22,15 @@ def session(master: str | None = None, partitions: int | None = None, **conf: st
     return b.getOrCreate()
 
 
+@contextmanager
+def timed(what: str, tell=print):
+    """Tell the seconds that a block takes; only Spark actions inside it take time."""
+    began = time.perf_counter()
+    try:
+        yield
+    finally:
+        tell(f"{what}: {time.perf_counter() - began:.3f} s")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -6,6 +6,7 @@ import io
 import xml.etree.ElementTree as ET
 import zipfile
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,30 +113,45 @@ def read_text_vectors(spark: SparkSession, path: str, width: int = 200) -> DataF
     return rows.select(F.element_at("p", F.size("p") - width).alias("word"), F.slice("p", -width, width).cast("array<float>").alias("vec"))
 
 
-def word2vec_vectors(data: bytes) -> list[tuple[str, list[float]]]:
-    """Entries of a binary word2vec file."""
-    import numpy as np
-
+def word2vec_frames(data: bytes, block: int = 10_000):
+    """Entries of a binary word2vec file, `block` of them at a time."""
     head, at = data.split(b"\n", 1)[0], data.index(b"\n") + 1
     n, width = map(int, head.split())
-    out = []
-    for _ in range(n):
+    words, vectors = [], []
+    for i in range(n):
         stop = data.index(b" ", at)
-        word = data[at:stop].lstrip(b"\n").decode("utf-8", "replace")
-        out.append((word, np.frombuffer(data, "<f4", width, stop + 1).tolist()))
+        words.append(data[at:stop].lstrip(b"\n").decode("utf-8", "replace"))
+        vectors.append(np.frombuffer(data, "<f4", width, stop + 1))
         at = stop + 1 + 4 * width
-    return out
+        if len(words) == block or i == n - 1:
+            yield pd.DataFrame({"word": words, "vec": vectors})
+            words, vectors = [], []
 
 
 def read_word2vec(spark: SparkSession, path: str) -> DataFrame:
     def run(batches):
         for pdf in batches:
-            rows = [r for c in pdf["content"] for r in word2vec_vectors(c)]
-            yield pd.DataFrame(rows, columns=["word", "vec"])
+            for c in pdf["content"]:
+                yield from word2vec_frames(c)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "word string, vec array<float>")
 
 
+def read_npy(spark: SparkSession, path: str) -> DataFrame:
+    """(path, row, values): one row for each entry of the first axis of each array, flattened. Pickled arrays are refused."""
+
+    def run(batches):
+        for pdf in batches:
+            for p, c in zip(pdf["path"], pdf["content"]):
+                a = np.load(io.BytesIO(c), allow_pickle=False)
+                flat = np.atleast_1d(a).reshape(len(np.atleast_1d(a)), -1).astype(float)
+                for i in range(0, len(flat), 4096):
+                    part = flat[i : i + 4096]
+                    yield pd.DataFrame({"path": p, "row": np.arange(i, i + len(part)), "values": list(part)})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, row long, values array<double>")
+
+
 def read_xml(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", row_tag).load(path)
 

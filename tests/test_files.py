@@ -85,3 +85,12 @@ def test_streams_equal_batches(spark, tmp_path):
     events.run_to_end(events.running_gaps(stream), str(tmp_path / "gaps"), str(tmp_path / "cp2"))
     assert spark.read.parquet(str(tmp_path / "gaps")).count() == src.count()
     assert events.sessions(src.withColumn("ts", F.col("ts").cast("timestamp"))).count() > 0
+
+
+def test_npy(spark, tmp_path):
+    import numpy as np
+
+    np.save(tmp_path / "a.npy", np.arange(12).reshape(3, 2, 2))
+    np.save(tmp_path / "b.npy", np.array(7.5))
+    got = {(r.path.rsplit("/", 1)[1], r.row): list(r["values"]) for r in readers.read_npy(spark, str(tmp_path)).collect()}
+    assert got == {("a.npy", 0): [0, 1, 2, 3], ("a.npy", 1): [4, 5, 6, 7], ("a.npy", 2): [8, 9, 10, 11], ("b.npy", 0): [7.5]}

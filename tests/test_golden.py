@@ -274,3 +274,28 @@ def test_embedding_lookup(spark):
 def test_rough_importance(spark):
     df = spark.createDataFrame([("a", "x", "1"), ("a", "y", "1"), ("b", "x", "2"), ("b", "x", "2")], "p string, q string, t string")
     assert {r.attribute: r.importance for r in association.rough_importance(df, ["p", "q"], "t").collect()} == {"p": 0.25, "q": 0.25}
+
+
+def test_numbers_by_text(spark):
+    from tarnwood.operators import ordering
+
+    names = [f"Customer#{i:06d}" for i in range(3000)] + ["", "a", "É", "中"]
+    got = ordering.numbered_by_text(spark.createDataFrame([(n,) for n in names], "name string"), F.col("name")).collect()
+    assert {r.name: r.pos for r in got} == {n: i for i, n in enumerate(sorted(names))}
+    none = spark.createDataFrame([], "name string")
+    assert ordering.numbered_by_text(none, F.col("name")).count() == 0
+
+
+def test_write_back(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, None)], "id long, y string")
+    got = quality.write_back(df, spark.createDataFrame([(2, "b")], "id long, y string"), "id", "y")
+    assert {(r.id, r.y) for r in got.collect()} == {(1, "a"), (2, "b"), (3, None)}
+
+
+def test_timer():
+    from tarnwood.session import timed
+
+    said = []
+    with timed("step", said.append):
+        pass
+    assert said[0].startswith("step: 0.0")
