@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
@@ -82,6 +83,21 @@ def smallest_by_hash(rows: DataFrame, by: str, n: int) -> DataFrame:
     return part.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy("h", "doc_id", "size"))).filter(F.col("rank") <= n)
 
 
+def gives_back(run):
+    """The Arrow function `run`, after whose partition the worker gives its free memory back to the system: workers stay for
+    later stages, and the executor needs their room."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return wrapped
+
+
 def batches_by_bytes(batches, column: str, limit: int = 4 << 20):
     """Re-slice Arrow batches so that each holds about `limit` bytes of `column` (a longer single row stands alone)."""
     for batch in batches:

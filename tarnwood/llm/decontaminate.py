@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_side, stage
+from .common import parts_for, small_side, stage
 
 _SEPARATORS = "".join(map(chr, [*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))
 _SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -53,23 +53,23 @@ def item_windows(items: DataFrame, width: int) -> DataFrame:
     return w.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i, F.lit(width)))).alias("win")).distinct()
 
 
-def build_index(docs: DataFrame, windows: DataFrame, key: Column, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def build_index(docs: DataFrame, windows: DataFrame, key: Column, text_col: str = "text", parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The stored postings (doc, pos, term) and the vocabulary (word, term) of the test set."""
     from pyspark.sql import Window
 
     test_words = windows.select(F.explode("win").alias("word")).distinct()
     vocab = test_words.withColumn("term", F.row_number().over(Window.orderBy("word"))).unionAll(docs.sparkSession.createDataFrame([("", END)], "word string, term int"))
-    vocab = small_side(vocab, "vocabulary")
+    vocab = small_side(vocab, "vocabulary", parts=parts)
     tokens = docs.select(key.alias("doc"), F.posexplode(F.array_append(words(F.col(text_col)), F.lit(""))).alias("pos", "word"))
     return stage(tokens.join(vocab, "word").select("doc", "pos", "term"), "postings"), vocab
 
 
-def ranked_windows(windows: DataFrame, vocab: DataFrame, postings: DataFrame) -> DataFrame:
+def ranked_windows(windows: DataFrame, vocab: DataFrame, postings: DataFrame, parts: int | None = None) -> DataFrame:
     """(win, n, parts): each different window once, its (uses, off, term) from the rarest term on; none if a term never occurs."""
     from pyspark.sql import Window
 
     uses = postings.groupBy("term").agg(F.count(F.lit(1)).alias("uses"))
-    terms = small_side(vocab.join(uses, "term").filter(F.col("term") != END), "uses")
+    terms = small_side(vocab.join(uses, "term").filter(F.col("term") != END), "uses", parts=parts)
     spread = windows.select("win").distinct().select("win", F.posexplode("win").alias("off", "word")).join(terms, "word")
     ranked = spread.groupBy("win").agg(F.array_sort(F.collect_list(F.struct("uses", "off", "term"))).alias("parts"))
     ranked = ranked.filter(F.size("parts") == F.size("win"))  # each of the item's terms occurs
@@ -80,7 +80,7 @@ def _span(n):
     return n + F.floor(n / 2).cast("int")
 
 
-def matches(postings: DataFrame, ranked: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+def matches(postings: DataFrame, ranked: DataFrame, width: int, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(doc, start, n, wid) of every exact occurrence of a window, and (doc, wid) of the windows with a proximity match."""
     reach = width + width // 2  # no stretch is longer
     size = 6 * reach
@@ -93,12 +93,12 @@ def matches(postings: DataFrame, ranked: DataFrame, width: int) -> tuple[DataFra
 
     def part(i: int, name: str) -> DataFrame:
         """The i-th rarest term of each window that has one."""
-        return small_side(ranked.filter(F.size("parts") > i).select(F.col("parts")[i]["term"].alias("term"), F.col("parts")[i]["off"].alias("off"), "n", "wid"), name)
+        return small_side(ranked.filter(F.size("parts") > i).select(F.col("parts")[i]["term"].alias("term"), F.col("parts")[i]["off"].alias("off"), "n", "wid"), name, parts=parts)
 
     def near(places: DataFrame, i: int) -> DataFrame:
         """Places of windows of more than i words that have the i-th rarest term near by."""
         other = part(i, f"part{i}")
-        lists = postings.join(small_side(other.select("term").distinct(), "terms"), "term", "left_semi").withColumnRenamed("pos", "at")
+        lists = postings.join(small_side(other.select("term").distinct(), "terms", parts=parts), "term", "left_semi").withColumnRenamed("pos", "at")
         lists = lists.select("doc", "term", "at", blocks(F.col("at")))
         need = places.join(other.drop("n", "off"), "wid").withColumn("block", block(F.col("pos")))
         close = need.join(lists, ["doc", "block", "term"]).filter((F.abs(F.col("at") - F.col("pos")) < _span(F.col("n"))) & (F.col("at") != F.col("pos")))
@@ -110,12 +110,12 @@ def matches(postings: DataFrame, ranked: DataFrame, width: int) -> tuple[DataFra
     rest = third.unionByName(second.filter("n = 2"))
     terms = F.array_distinct(F.transform("parts", lambda x: x["term"]))
     needs = F.transform(terms, lambda t: F.struct(t.alias("term"), F.size(F.filter("parts", lambda x: x["term"] == t)).alias("c")))
-    parts = small_side(ranked.select("wid", F.transform("parts", lambda x: F.struct(x["off"].alias("off"), x["term"].alias("term"))).alias("parts"), needs.alias("needs")), "windows")
-    need = rest.join(parts.select("wid", "needs"), "wid").select("doc", "pos", "off", "n", "wid", F.explode("needs.term").alias("term"))
+    listed = small_side(ranked.select("wid", F.transform("parts", lambda x: F.struct(x["off"].alias("off"), x["term"].alias("term"))).alias("parts"), needs.alias("needs")), "windows", parts=parts)
+    need = rest.join(listed.select("wid", "needs"), "wid").select("doc", "pos", "off", "n", "wid", F.explode("needs.term").alias("term"))
     need = need.select("*", blocks(F.col("pos")))
     lists = postings.join(small_side(rest.select("doc").distinct(), "documents"), "doc", "left_semi").select("doc", "term", F.col("pos").alias("at"), block(F.col("pos")).alias("block"))
     seen = need.join(lists, ["doc", "block", "term"]).filter(F.abs(F.col("at") - F.col("pos")) < _span(F.col("n")))
-    seen = seen.groupBy("doc", "pos", "off", "n", "wid").agg(F.collect_set(F.struct("at", "term")).alias("hits")).join(parts, "wid")
+    seen = seen.groupBy("doc", "pos", "off", "n", "wid").agg(F.collect_set(F.struct("at", "term")).alias("hits")).join(listed, "wid")
     start = F.col("pos") - F.col("off")
     exact = F.forall("parts", lambda x: F.array_contains(F.col("hits"), F.struct((start + x["off"]).alias("at"), x["term"].alias("term"))))
     inside = lambda s: F.filter("hits", lambda h: (h["at"] >= s) & (h["at"] < s + _span(F.col("n"))))
@@ -131,12 +131,13 @@ def matches(postings: DataFrame, ranked: DataFrame, width: int) -> tuple[DataFra
 def _judged(docs: DataFrame, items: DataFrame, key: Column, width: int, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(doc, n_words) of all keys, and (doc, n_hit, n_items, item_list, n_near, near_list) of those with a match."""
     windows = stage(item_windows(items, width), "windows")
-    postings, vocab = build_index(docs, windows, key, text_col)
-    ranked = stage(ranked_windows(windows, vocab, postings), "ranked")
-    exact, close = matches(postings, ranked, width)
+    parts = parts_for(windows.count(), 5_000)  # of the tables that grow with the benchmark alone
+    postings, vocab = build_index(docs, windows, key, text_col, parts)
+    ranked = stage(ranked_windows(windows, vocab, postings, parts), "ranked", parts)
+    exact, close = matches(postings, ranked, width, parts)
     hits = stage(exact, "hits")
     hit = hits.select("doc", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("pos")).distinct().groupBy("doc").agg(F.count(F.lit(1)).alias("n_hit"))
-    of = small_side(windows.join(ranked.select("win", "wid"), "win").select("wid", "item_id"), "items")
+    of = small_side(windows.join(ranked.select("win", "wid"), "win").select("wid", "item_id"), "items", parts=parts)
 
     def items_of(found: DataFrame, n: str, listed: str) -> DataFrame:
         ids = found.select("doc", "wid").distinct().join(of, "wid").select("doc", F.col("item_id").cast("string").alias("item")).distinct()
