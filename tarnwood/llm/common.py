@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Largest number of rows that a side may have to be broadcast; each use counts the rows first.
 BROADCAST_ROWS = 400_000
+#: Bytes of a batch between executor and worker.
+ARROW_BYTES = 2 << 20
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -98,6 +100,15 @@ def gives_back(run):
     return wrapped
 
 
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow with batches of at most ARROW_BYTES where the session allows larger ones: executor and worker each hold
+    a batch and a copy of it while it is built, for each task. Only the plan's memory depends on it, never a result."""
+    spark = df.sparkSession
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > ARROW_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    return df.mapInArrow(gives_back(run), schema)
+
+
 def batches_by_bytes(batches, column: str, limit: int = 4 << 20):
     """Re-slice Arrow batches so that each holds about `limit` bytes of `column` (a longer single row stands alone)."""
     for batch in batches:

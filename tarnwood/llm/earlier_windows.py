@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_by_bytes, gives_back, small_side, stage, unstage, utf8
+from .common import batches_by_bytes, map_arrow, small_side, stage, unstage, utf8
 from .windows import BYTE, pieces, word_symbols
 
 _NO_ID = -(2**63)
@@ -71,7 +71,7 @@ def covered_spans(rows: DataFrame, ids: DataFrame, index: Index, width: int = 50
             ids, at = pa.array(row), (first - ends[row]).astype(np.int32)
             yield pa.record_batch([pa.array(h.view(np.int64)), batch.column(0).take(ids), batch.column(1).take(ids), pa.array(at), pa.array(count.astype(np.int32))], names=["h", "doc", "key", "first", "n"])
 
-    found = stage(single.mapInArrow(gives_back(anchors), "h long, doc long, key long, first int, n int"), "anchors")
+    found = stage(map_arrow(single, anchors, "h long, doc long, key long, first int, n int"), "anchors")
     # staged by itself: its shuffle files go before the join needs room, and Spark can split the join where a hash is hot
     again = stage(found.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("h"), "again")
     at = F.shiftleft(F.col("first").cast("long"), _COUNT).bitwiseOR(F.col("n").cast("long")).alias("at")
@@ -99,7 +99,7 @@ def covered_spans(rows: DataFrame, ids: DataFrame, index: Index, width: int = 50
             yield pa.record_batch([flat.field(1), batch.column(0).take(ids), batch.column(1).take(ids), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)), content], names=["h", "doc", "key", "first", "n", "content"])
 
     text = single.join(places, "key").select("doc", "key", "text", "places")
-    parts = stage(text.mapInArrow(gives_back(cut), "h long, doc long, key long, first int, n int, content binary").withColumn("sig", F.xxhash64("content")), "pieces")
+    parts = stage(map_arrow(text, cut, "h long, doc long, key long, first int, n int, content binary").withColumn("sig", F.xxhash64("content")), "pieces")
     unique = parts.groupBy("h", "sig", "content").agg(F.min("doc").alias("doc"))
 
     def shard(batches):
@@ -118,7 +118,7 @@ def covered_spans(rows: DataFrame, ids: DataFrame, index: Index, width: int = 50
             yield from _answers(pa.Table.from_batches(held).combine_chunks(), index, width, unit)
 
     shards = unique.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "h").sortWithinPartitions("h", "doc", "sig")
-    answers = stage(shards.mapInArrow(gives_back(shard), "h long, sig long, least long, runs array<struct<a:int,b:int>>"), "answers")
+    answers = stage(map_arrow(shards, shard, "h long, sig long, least long, runs array<struct<a:int,b:int>>"), "answers")
     hit = parts.select("h", "sig", "doc", "key", "first", "n").join(answers.hint("shuffle_hash"), ["h", "sig"])
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))
     hit = hit.select("key", "first", F.when(F.col("doc") > F.col("least"), whole).otherwise(F.col("runs")).alias("runs")).filter("size(runs) > 0")
@@ -126,7 +126,7 @@ def covered_spans(rows: DataFrame, ids: DataFrame, index: Index, width: int = 50
     lists = spans.groupBy("key").agg(F.sort_array(F.collect_list("s")).alias("s"))
     # all windows of an exact copy start in the document of least id; the end is past any text
     whole = copies.select("key", F.expr("unhex('00000000FFFFFF7F')").alias("spans"))
-    return stage(lists.mapInArrow(gives_back(_merged), "key long, spans binary").unionByName(whole), "spans")
+    return stage(map_arrow(lists, _merged, "key long, spans binary").unionByName(whole), "spans")
 
 
 def _answers(table: pa.Table, index: Index, width: int, unit: str):

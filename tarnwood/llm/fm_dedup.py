@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, batches_by_bytes, gives_back, utf8
+from .common import SPACE, batches_by_bytes, map_arrow, utf8
 from .earlier_windows import covered_spans, keyed, spans_of, with_spans
 from .windows import word_symbols
 
@@ -161,4 +161,4 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
             kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
             yield pa.record_batch([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:2]), pa.array(cols[2], pa.string()), pa.array(cols[3], kind)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "spans"])
 
-    return with_spans(rows.select("doc_id", "key", "text"), spans).select("doc_id", "text", "spans").mapInArrow(gives_back(apply), SCHEMA)
+    return map_arrow(with_spans(rows.select("doc_id", "key", "text"), spans).select("doc_id", "text", "spans"), apply, SCHEMA)

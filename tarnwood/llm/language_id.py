@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches_by_bytes, gives_back, smallest_by_hash, utf8
+from .common import batches_by_bytes, map_arrow, smallest_by_hash, utf8
 
 UND = "und"
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double"
@@ -158,7 +158,7 @@ def predict(docs: DataFrame, model: PPM, text_col: str = "text", batch_bytes: in
             lang, score, per = _predicted(shared.value, batch.column(2))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score), pa.array(per)], names=["doc_id", "held_out", "lang_pred", "score", "bits_per_byte"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col(text_col).alias("text")).mapInArrow(gives_back(run), SCHEMA)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col(text_col).alias("text")), run, SCHEMA)
 
 
 def keep_known(docs: DataFrame, model: PPM, text_col: str = "text", batch_bytes: int = 1 << 18) -> DataFrame:
@@ -170,4 +170,4 @@ def keep_known(docs: DataFrame, model: PPM, text_col: str = "text", batch_bytes:
             lang, _, _ = _predicted(shared.value, batch.column(at))
             yield batch.filter(pa.array(lang != UND, pa.bool_()))
 
-    return docs.mapInArrow(gives_back(run), docs.schema)
+    return map_arrow(docs, run, docs.schema)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, batches_by_bytes, gives_back, mix64, parts_for, small_side, stage, utf8
+from .common import SPACE, batches_by_bytes, map_arrow, mix64, parts_for, small_side, stage, utf8
 from .earlier_windows import _NO_ID, keyed
 from .windows import gram_hashes, word_symbols
 
@@ -133,7 +133,7 @@ def _signed(rows: DataFrame, bands: int, per_band: int) -> DataFrame:
             values = pa.array(keys[some].ravel())
             yield pa.record_batch([batch.column(0).take(pa.array(some)), pa.array(np.diff(off)[some].astype(np.int32)), pa.ListArray.from_arrays(pa.array((np.arange(len(some) + 1) * bands).astype(np.int32)), values)], names=["key", "n", "bands"])
 
-    return rows.select("key", "text").mapInArrow(gives_back(run), "key long, n int, bands array<long>")
+    return map_arrow(rows.select("key", "text"), run, "key long, n int, bands array<long>")
 
 
 def _sets(rows: DataFrame) -> DataFrame:
@@ -145,7 +145,7 @@ def _sets(rows: DataFrame) -> DataFrame:
             elems, off = elements(raw, ends)
             yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(elems.view(np.int64)))], names=["key", "elems"])
 
-    return rows.select("key", "text").mapInArrow(gives_back(run), "key long, elems array<long>")
+    return map_arrow(rows.select("key", "text"), run, "key long, elems array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_by_bytes, gives_back, smallest_by_hash
+from .common import batches_by_bytes, map_arrow, smallest_by_hash
 
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -160,4 +160,4 @@ def scan_secrets(docs: DataFrame, scanner: Scanner, id_col: str = "doc_id", text
             cols = list(zip(*rows))
             yield pa.record_batch([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.string()) for c in cols[3:5]), pa.array(cols[5], pa.int64())], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text").mapInArrow(gives_back(run), SCHEMA)
+    return map_arrow(docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text"), run, SCHEMA)

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batches_by_bytes, gives_back, mix64
+from .common import batches_by_bytes, map_arrow, mix64
 
 SPACE = ord("▁")
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -371,7 +371,7 @@ def sample_encode(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text_col:
                     cols += [pa.nulls(len(live), pa.bool_()) if s else pa.array([d == texts[r].replace("▁", " ") for d, r in zip(m.sp.decode([p.tolist() for p in parts]), live.tolist())], pa.bool_())]
                 yield pa.record_batch(cols, names=names)
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text").mapInArrow(gives_back(run), schema)
+    return map_arrow(docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text"), run, schema)
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None) -> DataFrame:
@@ -387,7 +387,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                 sp = sentencepiece.SentencePieceProcessor(model_file=path)
             yield pa.record_batch([batch.column(0), pa.array(sp.encode([t or "" for t in batch.column(1).to_pylist()], num_threads=1), pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text").mapInArrow(gives_back(run), "doc_id long, ids array<int>")
+    return map_arrow(docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text"), run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
@@ -403,4 +403,4 @@ def decode(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
                 sp = sentencepiece.SentencePieceProcessor(model_file=path)
             yield pa.record_batch([batch.column(0), pa.array(sp.decode([x or [] for x in batch.column(1).to_pylist()]) if batch.num_rows else [], pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(gives_back(run), "doc_id long, text string")
+    return map_arrow(encoded.select("doc_id", "ids"), run, "doc_id long, text string")

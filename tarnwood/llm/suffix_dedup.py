@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_by_bytes, gives_back, utf8
+from .common import batches_by_bytes, map_arrow, utf8
 from .earlier_windows import covered_spans, keyed, spans_of, with_spans
 
 
@@ -125,7 +125,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
             kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
             yield pa.record_batch([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string()), pa.array(cols[4], kind)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    return with_spans(rows.select("doc_id", "key", "text"), spans).select("doc_id", "text", "spans").mapInArrow(gives_back(apply), SCHEMA)
+    return map_arrow(with_spans(rows.select("doc_id", "key", "text"), spans).select("doc_id", "text", "spans"), apply, SCHEMA)
 
 
 def keep_text(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,4 +141,4 @@ def keep_text(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_co
                 out.append((kept + raw[at:]).decode("utf-8", "replace"))
             yield pa.record_batch([batch.column(0), pa.array(out, pa.string())], names=[id_col, text_col])
 
-    return docs.select(id_col, text_col).join(spans.select(F.col("doc_id").alias(id_col), "spans"), id_col).mapInArrow(gives_back(apply), f"{id_col} long, {text_col} string")
+    return map_arrow(docs.select(id_col, text_col).join(spans.select(F.col("doc_id").alias(id_col), "spans"), id_col), apply, f"{id_col} long, {text_col} string")

@@ -18,7 +18,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batches_by_bytes, gives_back, lengths
+from .common import batches_by_bytes, lengths, map_arrow
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 #: Every one of these characters was compared in both libraries (tests/llm); texts with others take the slower library.
@@ -94,4 +94,4 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 n[row] += c
             yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text").mapInArrow(gives_back(run), SCHEMA)
+    return map_arrow(docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text"), run, SCHEMA)
