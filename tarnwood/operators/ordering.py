@@ -42,6 +42,13 @@ def numbered_by_text(df: DataFrame, key: Column, name: str = "pos", ranges: int
     return cut.withColumn(name, place.cast("long")).drop("_range", "_key")
 
 
+def running(df: DataFrame, order: str, weight: str, name: str, ranges: int = 64) -> DataFrame:
+    """Add name: sum of weight over the rows up to this one in the order of a numeric column without repeats."""
+    cut = df.withColumn("_range", _ranges(df, order, ranges))
+    w = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return cut.withColumn(name, (F.sum(weight).over(w) + _offsets(cut, F.col(weight))).cast("long")).drop("_range")
+
+
 def average_ranks(df: DataFrame, col: str, name: str, ranges: int = 64) -> DataFrame:
     """Distinct values of col with their average rank: (count of smaller values) + (ties + 1) / 2."""
     counts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
@@ -60,6 +67,6 @@ def order_statistics(df: DataFrame, col: str, ranks: list[int]) -> list[float]:
         eps = 0.002
         lo, hi = x.approxQuantile("x", [max(0.0, r / n - 3 * eps), min(1.0, r / n + 3 * eps)], eps)
         below = x.filter(F.col("x") < lo).count()
-        counts = x.filter(F.col("x").between(lo, hi)).groupBy("x").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(Window.orderBy("x")))
-        out.append(counts.filter(F.col("upto") > r - below).orderBy("x").first()["x"])
+        counts = x.filter(F.col("x").between(lo, hi)).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+        out.append(running(counts, "x", "n", "upto").filter(F.col("upto") > r - below).orderBy("x").first()["x"])
     return out

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import order_statistics
+from .ordering import order_statistics, running
 
 RULES = ("3a", "box", "scope", "discrete")
 
@@ -120,17 +120,44 @@ def nearest(queries: DataFrame, rows: DataFrame, q_id: str, r_id: str, q_vec: st
 
 
 def impute_knn(df: DataFrame, row: str, features: list[str], target: str, k: int = 3, classify: bool = True, queries: Column | None = None) -> DataFrame:
-    """Fill a missing target from the k nearest rows that have it: majority (ties to the smallest label) or mean."""
-    vec = df.select(row, target, F.array(*[F.col(c).cast("double") for c in features]).alias("v"))
-    need, have = vec.filter(F.col(target).isNull()), vec.filter(F.col(target).isNotNull())
+    """Fill a missing target from the k nearest rows that have it: majority (ties to the smallest label) or mean.
+
+    With one feature every missing row is filled, without a search over pairs; a row without the feature is neither filled nor
+    used. With several, `queries` states the rows to fill, each of which is compared with all rows."""
+    need, have = df.filter(F.col(target).isNull()), df.filter(F.col(target).isNotNull())
     if queries is not None:
         need = need.filter(queries)
-    near = nearest(need.select(row, F.col("v").alias("qv")), have.select(F.col(row).alias("_r"), F.col("v").alias("rv")), row, "_r", "qv", "rv", k)
-    got = near.join(have.select(F.col(row).alias("r_id"), target), "r_id")
+    if len(features) == 1:
+        x = F.col(features[0]).cast("double")
+        ask = need.select(F.col(row).alias("id"), x.alias("at")).filter("at is not null and not isnan(at)")
+        known = have.select(F.col(row).alias("r_id"), x.alias("v"), F.col(target).alias("label")).filter("v is not null and not isnan(v)")
+        return ask.join(_voted(nearest_values(ask.select("at").distinct(), known, k), "at", classify), "at").select(F.col("id").alias(row), F.col("label").alias(target))
+    vec = F.array(*[F.col(c).cast("double") for c in features])
+    near = nearest(need.select(row, vec.alias("qv")), have.select(F.col(row).alias("_r"), vec.alias("rv")), row, "_r", "qv", "rv", k)
+    got = _voted(near.join(have.select(F.col(row).alias("r_id"), F.col(target).alias("label")), "r_id"), "q_id", classify)
+    return got.select(F.col("q_id").alias(row), F.col("label").alias(target))
+
+
+def _voted(near: DataFrame, by: str, classify: bool) -> DataFrame:
+    """(by, label): the label of most of the near rows, the smallest of several; or their mean."""
     if not classify:
-        return got.groupBy(F.col("q_id").alias(row)).agg(F.avg(target).alias(target))
-    votes = got.groupBy("q_id", target).agg(F.count(F.lit(1)).alias("n"))
-    return votes.groupBy(F.col("q_id").alias(row)).agg(F.min_by(target, F.struct(-F.col("n"), F.col(target))).alias(target))
+        return near.groupBy(by).agg(F.avg("label").alias("label"))
+    votes = near.groupBy(by, "label").agg(F.count(F.lit(1)).alias("n"))
+    return votes.groupBy(by).agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("label"))
+
+
+def nearest_values(asked: DataFrame, known: DataFrame, k: int) -> DataFrame:
+    """(at, r_id, label): the k rows of known (r_id, v, label) nearest to each different value `at`, ties by r_id.
+
+    The k different values on either side of `at`, with k rows of each, hold them. Values are numbered in ranges, and the
+    neighbours follow by an equi-join on these numbers."""
+    kept = known.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("r_id"))).filter(F.col("n") <= k).drop("n")
+    both = kept.select(F.col("v").alias("x"), F.lit(1).alias("k"), F.lit(0).alias("a")).unionAll(asked.select(F.col("at").alias("x"), F.lit(0), F.lit(1)))
+    places = running(both.groupBy("x").agg(F.max("k").alias("k"), F.max("a").alias("a")), "x", "k", "upto")
+    numbers = places.filter("k = 1").select(F.col("x").alias("v"), F.col("upto").alias("place"))
+    near = places.filter("a = 1").select(F.col("x").alias("at"), F.explode(F.sequence(F.col("upto") - (k - 1), F.col("upto") + k)).alias("place")).join(numbers, "place").join(kept, "v")
+    w = Window.partitionBy("at").orderBy(F.abs(F.col("at") - F.col("v")), "r_id")
+    return near.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k).select("at", "r_id", "label")
 
 
 def write_back(df: DataFrame, filled: DataFrame, row: str, target: str) -> DataFrame:

@@ -137,13 +137,13 @@ def impute_lagrange(spark, sf):
 @query("""
 WITH d AS (SELECT d.doc_id, CAST(n_chars AS DOUBLE) AS v, quality FROM documents d LEFT JOIN labels l USING (doc_id)),
 n AS (SELECT q.doc_id, r.quality, row_number() OVER (PARTITION BY q.doc_id ORDER BY sqrt((q.v - r.v) * (q.v - r.v)), r.doc_id) AS k
- FROM d q JOIN d r ON q.quality IS NULL AND r.quality IS NOT NULL AND q.doc_id % 100 = 0),
+ FROM d q JOIN d r ON q.quality IS NULL AND r.quality IS NOT NULL),
 v AS (SELECT doc_id, quality, count(*) AS c FROM n WHERE k <= 3 GROUP BY doc_id, quality)
 SELECT doc_id, quality FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, quality) AS r FROM v) WHERE r = 1
 """)
 def impute_knn(spark, sf):
-    """A search: rows without a label whose id is divisible by 100 against all rows with one."""
-    return quality.impute_knn(labelled(spark, sf), "doc_id", ["n_chars"], "quality", queries=F.col("doc_id") % 100 == 0)
+    """Every row without a label gets that of the three labelled rows nearest by length."""
+    return quality.impute_knn(labelled(spark, sf), "doc_id", ["n_chars"], "quality")
 
 
 for _name, _sql in {

@@ -54,3 +54,20 @@ def test_cnn_reads_whole_texts(spark):
     ids = {r.doc_id: list(r.ids) for r in text.encode(toks, vocab).filter("size(ids) > 32").limit(50).collect()}
     got = {r.doc_id: r.score for r in texts.QUERIES["cnn_inference"](spark, SF).collect()}
     assert ids and all(abs(got[i] - inference.softmax(inference.text_cnn(np.array([x]), w)).max()) < 1e-9 for i, x in ids.items())
+
+
+def test_every_missing_row_is_filled_as_by_brute_force(spark):
+    from tarnwood.operators import quality
+
+    r = random.Random(8)
+    rows = [(i, r.choice([None, float("nan"), 7.0, 7.0, float(r.randrange(40)), r.random() * 40]), r.choice([None, None, "a", "b", "c"])) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, f double, y string")
+    known = [x for x in rows if x[2] and x[1] is not None and x[1] == x[1]]
+    want = {}
+    for i, f, y in rows:
+        if y is None and f is not None and f == f:
+            near = [x[2] for x in sorted(known, key=lambda x: (abs(f - x[1]), x[0]))[:3]]
+            want[i] = min(set(near), key=lambda v: (-near.count(v), v))
+    assert {x.id: x.y for x in quality.impute_knn(df, "id", ["f"], "y").collect()} == want
+    none = df.filter("y is null")
+    assert quality.impute_knn(none, "id", ["f"], "y").count() == 0 == quality.impute_knn(df.limit(0), "id", ["f"], "y").count()
