@@ -146,6 +146,13 @@ def impute_knn(spark, sf):
     return quality.impute_knn(labelled(spark, sf), "doc_id", ["n_chars"], "quality")
 
 
+@query(f"SELECT d.doc_id, coalesce(l.quality, f.quality) AS quality FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN ({ORACLES['impute_knn']}) f USING (doc_id)")
+def impute_knn_written_back(spark, sf):
+    """All rows, the filled ones with their new label."""
+    rows = labelled(spark, sf).select("doc_id", "n_chars", "quality")
+    return quality.write_back(rows, quality.impute_knn(rows, "doc_id", ["n_chars"], "quality"), "doc_id", "quality").select("doc_id", "quality")
+
+
 for _name, _sql in {
     "max-min": "(x - min(x) OVER ()) / nullif(max(x) OVER () - min(x) OVER (), 0)",
     "max": "x / max(abs(x)) OVER ()",
@@ -515,6 +522,22 @@ def tumbling_events(spark, sf):
     return tumbling(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+@query("""
+WITH d AS (SELECT date_trunc('day', ts) AS day, event_type FROM events)
+SELECT start, event_type, count(*) AS n FROM (SELECT day AS start, event_type FROM d UNION ALL SELECT day - INTERVAL 1 DAY, event_type FROM d) GROUP BY 1, 2
+""")
+def sliding_events(spark, sf):
+    from tarnwood.streaming.events import sliding
+
+    return sliding(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5")
+def largest_orders(spark, sf):
+    """A report of the first five: the limit is the feature."""
+    return table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(5)
+
+
 @query("""
 WITH e AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)

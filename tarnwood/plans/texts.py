@@ -235,4 +235,21 @@ def sequence_lengths(spark, sf):
     return n.agg(F.min("n").alias("least"), F.max("n").alias("most"))
 
 
+@query(r"SELECT doc_id, md5(regexp_replace(text, '[ \t\n\x0B\f\r]', '', 'g')) AS digest FROM documents")
+def without_spaces(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(tf.strip_spaces(F.col("text"))).alias("digest"))
+
+
+@query("SELECT doc_id, md5(array_to_string(list_transform(range(1, length(text) + 1, 2), lambda i: substring(text, i, 2)), '|')) AS digest FROM documents")
+def character_pairs(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(F.array_join(tf.chunks(F.col("text")), "|")).alias("digest"))
+
+
+@query("SELECT doc_id, md5(array_to_string(flatten(list_transform(string_split_regex(text, '[.;]'), lambda s: string_split(s, ' '))), '|')) AS digest FROM documents")
+def flattened_sentences(spark, sf):
+    """The words of each sentence, flattened by one level."""
+    parts = F.flatten(F.transform(tf.sentences(F.col("text")), lambda s: F.split(s, " ")))
+    return table(spark, sf, "documents").select("doc_id", F.md5(F.array_join(parts, "|")).alias("digest"))
+
+
 __all__ = ["ORACLES", "QUERIES"]
