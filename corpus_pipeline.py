@@ -30,11 +30,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return near_dedup.drop_near_copies(docs)
 
 
-def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold windows of two or more benchmark items go. A row is known by id and text, so rows that repeat both go
-    together and another text of that id is judged for itself; null and empty texts stay; an empty benchmark keeps all; extra
-    columns stay; no rows give none."""
-    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold windows of two or more benchmark items go; from the others, the words that a window of any item covers
+    are cut out (n_chars, where it is there, is told anew), and a document of no other words goes. A row is known by id and text,
+    so rows that repeat both are treated alike and another text of that id is judged for itself; null and empty texts stay; an
+    empty benchmark keeps all; extra columns stay; no rows give none."""
+    return decontaminate.cut_contaminated(docs, table(spark, sf_dir, "benchmark"), length_col="n_chars" if "n_chars" in docs.columns else None)
 
 
 def sample_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +44,7 @@ def sample_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return spm_lattice.sample_encode(docs, k=2)
 
 
-STAGES = [("language_id", keep_known_languages), ("exact_dedup", drop_exact_copies), ("near_dedup", drop_near_copies), ("decontaminate", drop_contaminated), ("piece_sampling", sample_pieces)]
+STAGES = [("language_id", keep_known_languages), ("exact_dedup", drop_exact_copies), ("near_dedup", drop_near_copies), ("decontaminate", remove_benchmark), ("piece_sampling", sample_pieces)]
 #: The sampling stages cannot be written in SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
 

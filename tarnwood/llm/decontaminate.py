@@ -26,6 +26,8 @@ from .common import parts_for, small_side, stage
 
 _SEPARATORS = "".join(map(chr, [*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))
 _SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # the same with A-Z as letters, for texts as they are
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _NO_ID = -(2**63)
 END = 0  # term of the end posting
@@ -128,15 +130,17 @@ def matches(postings: DataFrame, ranked: DataFrame, width: int, parts: int | Non
     return exacts, told.select("doc", "wid").unionByName(alone.select("doc", "wid")).distinct()
 
 
-def _judged(docs: DataFrame, items: DataFrame, key: Column, width: int, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(doc, n_words) of all keys, and (doc, n_hit, n_items, item_list, n_near, near_list) of those with a match."""
+def _judged(docs: DataFrame, items: DataFrame, key: Column, width: int, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc, n_words) of all keys, (doc, n_hit, n_items, item_list, n_near, near_list) of those with a match, and (doc, pos) of
+    the words hit."""
     windows = stage(item_windows(items, width), "windows")
     parts = parts_for(windows.count(), 5_000)  # of the tables that grow with the benchmark alone
     postings, vocab = build_index(docs, windows, key, text_col, parts)
     ranked = stage(ranked_windows(windows, vocab, postings, parts), "ranked", parts)
     exact, close = matches(postings, ranked, width, parts)
     hits = stage(exact, "hits")
-    hit = hits.select("doc", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("pos")).distinct().groupBy("doc").agg(F.count(F.lit(1)).alias("n_hit"))
+    places = hits.select("doc", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("pos")).distinct()
+    hit = places.groupBy("doc").agg(F.count(F.lit(1)).alias("n_hit"))
     of = small_side(windows.join(ranked.select("win", "wid"), "win").select("wid", "item_id"), "items", parts=parts)
 
     def items_of(found: DataFrame, n: str, listed: str) -> DataFrame:
@@ -144,14 +148,14 @@ def _judged(docs: DataFrame, items: DataFrame, key: Column, width: int, text_col
         return ids.groupBy("doc").agg(F.count(F.lit(1)).alias(n), F.array_join(F.array_sort(F.collect_list("item")), ",").alias(listed))
 
     told = items_of(close, "n_near", "near_list").join(items_of(hits, "n_items", "item_list"), "doc", "left").join(hit, "doc", "left")
-    return postings.filter(F.col("term") == END).groupBy("doc").agg(F.max("pos").cast("long").alias("n_words")), small_side(told, "told")
+    return postings.filter(F.col("term") == END).groupBy("doc").agg(F.max("pos").cast("long").alias("n_words")), small_side(told, "told"), places
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = 8, least_items: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated by exact matches; n_near, near_sha256:
     the items with a proximity match, digested alike."""
     key = _row_key(docs, id_col, text_col)
-    length, told = _judged(docs, items, key, width, text_col)
+    length, told, _ = _judged(docs, items, key, width, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("doc"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     digest = lambda c: F.sha2(F.coalesce(c, F.lit("")), 256)
@@ -162,11 +166,38 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 8, least_items
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = 8, least_items: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that are not contaminated (by exact matches), with all their columns; a row is known by id and text."""
     key = _row_key(docs, id_col, text_col)
-    _, told = _judged(docs, items, key, width, text_col)
+    _, told, _ = _judged(docs, items, key, width, text_col)
     gone = small_side(told.filter(F.col("n_items") >= least_items).select(F.col("doc").alias("_gone")), "contaminated")
     return docs.join(gone, key == gone["_gone"], "left_anti")
 
 
+def cut_contaminated(docs: DataFrame, items: DataFrame, width: int = 8, least_items: int = 2, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """The rows of docs that are not contaminated, without the words that any exact match covers; a row of no other words goes.
+
+    A word goes with what stands between it and the next one. Matches are judged on the input, not on what is left; texts
+    without a match stay as they are. length_col: a column with the text's length in characters, told anew where words went."""
+    from pyspark.sql import Window
+
+    key = _row_key(docs, id_col, text_col)
+    _, told, places = _judged(docs, items, key, width, text_col)
+    run = F.col("pos") - F.row_number().over(Window.partitionBy("doc").orderBy("pos"))  # alike for words in a row
+    runs = places.withColumn("run", run).groupBy("doc", "run").agg(F.min("pos").alias("a"), F.max("pos").alias("b"))
+    runs = runs.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("_runs"))
+    cuts = small_side(runs.join(told.select("doc", "n_items"), "doc").select(F.col("doc").alias("_doc"), F.col("n_items").alias("_items"), "_runs"), "cuts")
+    rows = docs.join(cuts, key == cuts["_doc"], "left").filter(F.col("_items").isNull() | (F.col("_items") < least_items))
+    hit, text = F.col("_runs").isNotNull(), F.col(text_col)
+    parts = F.struct(F.filter(F.split(text, _BETWEEN), lambda w: w != "").alias("words"), F.split(text, _WORD).alias("between"))
+    rows = rows.select("*", F.explode(F.array(F.when(hit, parts))).alias("_parts"))  # a generator, so that a text is split once
+    gone = F.flatten(F.transform("_runs", lambda r: F.sequence(r["a"], r["b"])))
+    rows = rows.select("*", F.explode(F.array(F.when(hit, F.array_except(F.sequence(F.lit(0), F.size("_parts.words") - 1), gone)))).alias("_left"))
+    rows = rows.filter(F.col("_left").isNull() | (F.size("_left") > 0))
+    left = F.array_join(F.transform("_left", lambda i: F.concat(F.col("_parts.words")[i], F.col("_parts.between")[i + 1])), "")
+    rows = rows.withColumn(text_col, F.when(hit, F.concat(F.col("_parts.between")[0], left)).otherwise(text))
+    if length_col:
+        rows = rows.withColumn(length_col, F.when(hit, F.char_length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
+    return rows.select(*docs.columns)
+
+
 ORACLE = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
