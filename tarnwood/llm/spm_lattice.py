@@ -10,7 +10,7 @@ new path enter the queue. k pops give k segmentations; the best bound then left
 segmentation its inclusion score, the probability of a perturbed value above that threshold.
 
 No piece reaches across the start of a word (checked when the model is loaded), so conditional probabilities only depend
-on the word and are computed once per different word of a batch; all words, texts and nodes of a batch are worked on
+on the rest of the word and are computed once per different ending of a batch's words; all words, texts and nodes of a batch are worked on
 together in numpy. Draws are hashes of (row key, seed, sample, place), so a row's result depends on nothing else.
 
 A BPE model keeps merge ranks instead of log-probabilities; rank r then counts as -log(r + 2.7) (Zipf and Mandelbrot),
@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from .common import batches_by_bytes, map_arrow, mix64
 
 SPACE = ord("▁")
+_ONE = np.uint64(1)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD1342543DE82EF95)  # odd: powers have inverses modulo 2**64
 
@@ -66,13 +67,17 @@ class Model:
         self.byte_id = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int32)
         self.unknown = float(score.min()) - 10.0
         self.longest = max(map(len, pieces))
+        if self.longest > 127:
+            raise ValueError("a piece is too long")
         self.inverse = _powers(np.uint64(pow(int(_BASE), -1, 1 << 64)), 1 << 16)
         self.power = _powers(_BASE, 1 << 16)
         which = {p: j for j, p in enumerate(pieces, 1)}
+        self.mixed = mix64((np.arange(1 << 14, dtype=np.uint64) + np.uint64(1)) * _GOLD)  # of the common characters
         known = {p[:l] for p in pieces for l in range(1, len(p) + 1)}  # pieces and what they begin with, to stop a search early
         entries = sorted(known)
         value = np.array([which.get(p, -1) for p in entries], np.int32)
         size = np.array([len(p) for p in entries])
+        self.single = np.array([which.get(chr(c), -(chr(c) in known)) for c in range(1 << 14)], np.int32)
         keys = self.hashes(self.prefixes(np.frombuffer("".join(entries).encode("utf-32-le"), np.uint32)), np.cumsum(size) - size, size)
         self.bits = np.uint64(18)
         self.key, self.at, self.probes = np.zeros((1 << 18) + 256, np.uint64), np.zeros((1 << 18) + 256, np.int32), 1
@@ -93,12 +98,23 @@ class Model:
         """n + 1 sums of mixed characters times powers of the base."""
         self.grow(len(chars) + 1)
         out = np.zeros(len(chars) + 1, np.uint64)
-        np.cumsum(mix64((chars.astype(np.uint64) + np.uint64(1)) * _GOLD) * self.power[: len(chars)], out=out[1:])
+        mixed = self.mixed[np.minimum(chars, len(self.mixed) - 1)]
+        rare = np.flatnonzero(chars >= len(self.mixed))
+        mixed[rare] = mix64((chars[rare].astype(np.uint64) + np.uint64(1)) * _GOLD)
+        mixed *= self.power[: len(chars)]
+        np.cumsum(mixed, out=out[1:])
         return out
 
     def hashes(self, prefix: np.ndarray, first: np.ndarray, size) -> np.ndarray:
         return (prefix[first + size] - prefix[first]) * self.inverse[first]
 
+    def find_characters(self, chars: np.ndarray) -> np.ndarray:
+        """find() of strings of one character."""
+        out = self.single[np.minimum(chars, len(self.single) - 1)]
+        rare = np.flatnonzero(chars >= len(self.single))
+        out[rare] = self.find(mix64((chars[rare].astype(np.uint64) + _ONE) * _GOLD))
+        return out
+
     def slots(self, keys: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return ((keys * _GOLD) >> (np.uint64(64) - self.bits)).view(np.int64)
@@ -118,67 +134,130 @@ class Model:
 
 
 class Words:
-    """Lattices of the different words of a batch as lists of edges, those of one place together, the longest first.
+    """Lattices of the different words of a batch as lists of edges, those of one place together, the longest first. Places
+    from which words go on alike share their edges.
 
-    first[p], n_ways[p]: the edges of place p. Per edge: reach (characters), piece (id, -1 for a character outside the
-    vocabulary), share (its probability given that a piece starts at p), upto (sum of shares down the list), log_share."""
+    first[p], n_ways[p]: the edges of place p. Per edge: reach (characters), step (the same, 0 at the end of the word), piece (id, -1 for a character outside the
+    vocabulary), share (its probability given that a piece starts at p), upto (sum of shares down the list)."""
 
     def __init__(self, m: Model, chars: np.ndarray, size: np.ndarray, alpha: float):
         n, L = len(chars), m.longest
         left = np.repeat(np.cumsum(size), size) - np.arange(n)  # characters to the end of the word
-        small = left.astype(np.uint16) if n and left.max() < 1 << 16 else left
-        order = np.argsort(small, kind="stable")  # places nearest to a word's end first
-        rank = np.empty(n, np.int64)
-        rank[order] = np.arange(n)
-        left = left[order]
         prefix = m.prefixes(chars)
-        grid = np.zeros((n, L), np.int32)
-        at = np.arange(n)  # of the ordered places, those where longer pieces may still start
+        here, node = self._nodes(m, prefix, left)
+        count, left = len(here), left[here]
+        small = left.astype(np.uint16) if n and left.max() < 1 << 16 else left
+        order = np.argsort(small, kind="stable")  # nodes nearest to a word's end first
+        rank = np.empty(count + 1, np.int64)
+        rank[order] = np.arange(count)
+        found, n_ways = [], np.zeros(count, np.int64)
+        of, at, base, inverse = np.arange(count), here, prefix[here], m.inverse[here]  # nodes where longer pieces may still start
         for l in range(1, L + 1):
-            at = at[np.searchsorted(left[at], l) :]
-            if not len(at):
+            if l > 1:
+                on = np.flatnonzero(left[of] >= l)
+                of, at, base, inverse = of[on], at[on], base[on], inverse[on]
+            if not len(of):
                 break
-            hit = m.find(m.hashes(prefix, order[at], l))
-            grid[at, L - l] = hit if l > 1 else np.where(hit > 0, hit, len(m.piece))
-            at = at[hit != 0]
-        flat = np.flatnonzero(grid.ravel() > 0)
-        place, reach = flat // L, (L - flat % L).astype(np.int32)
-        found = grid.ravel()[flat]
-        del grid
-        found[found == len(m.piece)] = 0
-        score = alpha * np.where(found > 0, m.score[found], m.unknown)
-        head = np.flatnonzero(np.diff(place, prepend=-1))
-        width = np.diff(np.append(head, len(place)))
-        beta = np.zeros(n + 1)  # log-probability of all ways to go on
-        share = np.zeros(len(place))
-        target = np.where(reach == left[place], n, rank[np.minimum(order[place] + reach, max(n - 1, 0))])  # beta[n] stays 0: the end of a word
+            hit = m.find((prefix[at + l] - base) * inverse) if l > 1 else m.find_characters(chars[at])
+            is_edge = hit > 0 if l > 1 else np.ones(count, bool)
+            found.append((of[is_edge], np.maximum(hit[is_edge], 0)))
+            n_ways[found[-1][0]] += 1
+            on = np.flatnonzero(hit)
+            of, at, base, inverse = of[on], at[on], base[on], inverse[on]
+        width = n_ways[order]
+        stop = np.cumsum(width)
+        head, edges = stop - width, int(stop[-1]) if n else 0
+        free = stop[rank[:count]]  # one beyond the last free edge of each node
+        first = head[rank[:count]]
+        self.reach, self.step, which, target = (np.empty(edges, t) for t in (np.int8, np.int8, np.int32, np.int32))
+        for l, (of, hit) in enumerate(found, 1):
+            free[of] -= 1
+            put = free[of]
+            last = left[of] == l
+            self.reach[put], self.step[put], which[put] = l, np.where(last, 0, l), hit
+            after = here[of] + l
+            after[last] = 0
+            target[put] = np.where(last, count, rank[node[after]])  # node `count`: the end of a word
+        del found, free
+        log_piece = alpha * np.where(np.arange(len(m.score)) > 0, m.score, m.unknown)
+        left = left[order]
+        # Probabilities of all ways to go on: as they are where they cannot underflow, as logarithms further from a word's end.
+        safe = int(600 / max(np.abs(log_piece).max(), 1.0))
+        near = int(np.searchsorted(left, safe, "right"))
+        upto = int(stop[near - 1]) if near else 0
+        share = np.zeros(edges)
+        share[:upto] = np.exp(log_piece)[which[:upto]]
+        beta = np.ones(count + 1)
         groups = np.flatnonzero(np.diff(left, prepend=0))
-        for p, q in zip(groups.tolist(), [*groups[1:].tolist(), n]):
-            a, b = int(head[p]), int(head[q]) if q < n else len(place)
-            h, w = head[p:q] - a, width[p:q]
-            v = score[a:b] + beta[target[a:b]]
-            top = np.maximum.reduceat(v, h)
-            e = np.exp(v - np.repeat(top, w))
-            total = np.add.reduceat(e, h)
-            beta[p:q] = top + np.log(total)
-            share[a:b] = e / np.repeat(total, w)
-        self.reach, self.share, self.piece = reach, share, m.piece[found]
-        with np.errstate(divide="ignore"):
-            self.log_share = np.log(share)
+        ends = [*groups[1:].tolist(), count]
+        for p, q in zip(groups.tolist(), ends):
+            if p >= near:
+                break
+            a, b = int(head[p]), int(stop[q - 1])
+            v = share[a:b]
+            v *= beta[target[a:b]]
+            beta[p:q] = np.add.reduceat(v, head[p:q] - a)
+        share[:upto] /= np.repeat(beta[:near], width[:near])
+        if near < count:
+            beta = np.log(beta)  # beta[count] is 0
+            score = log_piece[which[upto:]]
+            for p, q in zip(groups.tolist(), ends):
+                if p < near:
+                    continue
+                a, b = int(head[p]), int(stop[q - 1])
+                h, w = head[p:q] - a, width[p:q]
+                v = score[a - upto : b - upto] + beta[target[a:b]]
+                top = np.maximum.reduceat(v, h)
+                e = np.exp(v - np.repeat(top, w))
+                total = np.add.reduceat(e, h)
+                beta[p:q] = top + np.log(total)
+                share[a:b] = e / np.repeat(total, w)
+        self.share, self.piece = share, m.piece[which]
         run = np.cumsum(share)
-        self.upto = run - np.repeat(run[head] - share[head], width)
-        self.upto[head + width - 1] = 2.0  # the last edge takes what rounding leaves
-        self.first, self.n_ways = head[rank], width[rank]
+        run -= np.repeat(run[head] - share[head], width)
+        run[stop - 1] = 2.0  # the last edge takes what rounding leaves
+        self.upto, self.first, self.n_ways = run, first[node], n_ways[node]
+
+    @staticmethod
+    def _nodes(m: Model, prefix: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places that stand for all places from which words go on alike, and the number of each place's one among them.
+
+        Places meet in a table; one that does not meet its like there, because another has its slot, stands for itself."""
+        n = len(left)
+        place = np.arange(n, dtype=np.int32 if n < 1 << 31 else np.int64)
+        ways = (prefix[place + left] - prefix[:-1]) * m.inverse[:n] + left.astype(np.uint64) * _BASE
+        bits = max(n.bit_length() + 1, 8)
+        slot = ((ways * _GOLD) >> np.uint64(64 - bits)).view(np.int64)
+        table = np.zeros(1 << bits, place.dtype)
+        table[slot] = place
+        like = table[slot]
+        like = np.where(ways[like] == ways, like, place)
+        here = np.flatnonzero(like == place)
+        number = np.empty(n, np.int64)
+        number[here] = np.arange(len(here))
+        return here, number[like]
 
 
 #: A perturbed value lies between these bounds from its log-probability, since uniform draws have 53 bits.
 _MOST, _LEAST = 37.5, 45.0
 
 
+def _salt(sample: int, stream: int) -> np.uint64:
+    return np.uint64((4 * sample + stream + 1) * 0x632BE59BD9B4E019 % (1 << 64))
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Uniform draws of 53 bits; x is overwritten."""
+    x >>= np.uint64(11)
+    u = x.astype(np.float64)
+    u += 0.5
+    u *= 2.0**-53
+    return u
+
+
 def _uniform(key: np.ndarray, sample: int, stream: int, place: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        x = mix64(key ^ ((place.astype(np.uint64) + np.uint64(1)) * _GOLD + np.uint64((4 * sample + stream + 1) * 0x632BE59BD9B4E019 % (1 << 64))))
-    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+        return _unit(mix64(key ^ ((place.astype(np.uint64) + _ONE) * _GOLD + _salt(sample, stream))))
 
 
 def sample_batch(m: Model, keys: np.ndarray, texts: list[str], k: int, alpha: float = 1.0, seed: int = 0):
@@ -199,7 +278,11 @@ def sample_batch(m: Model, keys: np.ndarray, texts: list[str], k: int, alpha: fl
     start = np.flatnonzero(begins)
     wsize = np.diff(np.append(start, n))
     whash = m.hashes(m.prefixes(chars), start, wsize) ^ mix64(wsize.astype(np.uint64))
-    _, one, inv = np.unique(whash, return_index=True, return_inverse=True)
+    _, one, inv, often = np.unique(whash, return_index=True, return_inverse=True, return_counts=True)
+    common = np.argsort(-often, kind="stable")  # frequent words stand together, for the processor's cache
+    one, at_rank = one[common], np.empty(len(common), np.int64)
+    at_rank[common] = np.arange(len(common))
+    inv = at_rank[inv]
     usize = wsize[one]
     ufirst = np.cumsum(usize) - usize
     words = Words(m, chars[np.repeat(start[one] - ufirst, usize) + np.arange(usize.sum())], usize, alpha)
@@ -211,18 +294,33 @@ def sample_batch(m: Model, keys: np.ndarray, texts: list[str], k: int, alpha: fl
     def walk(at: np.ndarray, edge: np.ndarray, s: int) -> None:
         """Draw an edge at each place in `at` and so on to the end of its word; edge[p]: 1 + the edge at p."""
         w = word[at]
-        key, begin, sh, end = rkey[row[at]], row_start[row[at]], shift[w], word_end[w]
+        r = row[at]
+        key, sh = rkey[r], shift[w]
+        with np.errstate(over="ignore"):
+            salt = _salt(s, 0) - row_start[r].astype(np.uint64) * _GOLD
         while len(at):
             e = words.first[at + sh]
-            u = _uniform(key, s, 0, at - begin)
+            x = at.astype(np.uint64)
+            x += _ONE
+            x *= _GOLD
+            x += salt
+            x ^= key
+            u = _unit(mix64(x))
             on = np.flatnonzero(words.upto[e] <= u)
-            while len(on):
-                e[on] += 1
-                on = on[words.upto[e[on]] <= u[on]]
+            if len(on):
+                f, v = e[on], u[on]
+                while True:
+                    f += 1
+                    more = np.flatnonzero(words.upto[f] <= v)
+                    if len(more) < len(f):
+                        e[on] = f
+                    if not len(more):
+                        break
+                    on, f, v = on[more], f[more], v[more]
             edge[at] = e + 1
-            at = at + words.reach[e]
-            go = np.flatnonzero(at < end)
-            at, key, begin, sh, end = at[go], key[go], begin[go], sh[go], end[go]
+            step = words.step[e]
+            go = np.flatnonzero(step)
+            at, key, salt, sh = at[go] + step[go], key[go], salt[go], sh[go]
 
     def bounds(at, loc, s, top):
         """Best perturbed values below nodes of log-probability loc, truncated at top."""
@@ -287,21 +385,26 @@ def sample_batch(m: Model, keys: np.ndarray, texts: list[str], k: int, alpha: fl
             fresh[live] = at
         path = np.flatnonzero(edge)
         e, erow = edge[path] - 1, row[path]
-        logq = words.log_share[e]
+        with np.errstate(divide="ignore"):
+            logq = np.log(words.share[e])
         run = np.cumsum(logq)
         head = np.searchsorted(path, row_start)
         base = np.append(0.0, run)[head]
         total = np.zeros(rows)
         total += np.bincount(erow, logq, rows)
         before = run - logq - base[erow]
-        lat = lattice(path)
-        new = np.flatnonzero((path >= fresh[erow]) & ((words.n_ways[lat] > 1) | (path == fresh[erow])))
         # Nodes far down the path cannot be among the k + 1 best bounds if enough nearer ones are sure to be better.
-        near = new[before[new] > -_LEAST]
-        node = lambda i: _node(words, path[i], e[i], lat[i], before[i])
+        is_near = before > -_LEAST
+
+        def nodes(i):
+            """Of the places i of the path, those that have a new node beside the path."""
+            i = i[path[i] >= fresh[erow[i]]]
+            lat = lattice(path[i])
+            some = (words.n_ways[lat] > 1) | (path[i] == fresh[erow[i]])
+            return i[some], lat[some]
 
-        def made(i):
-            at, mask, rest, bef = node(i)
+        def made(i, lat):
+            at, mask, rest, bef = _node(words, path[i], e[i], lat, before[i])
             if s:
                 own = at == fresh[row[at]]
                 rest[own], mask[own] = node_rest[row[at[own]]], mask_r[row[at[own]]]
@@ -309,12 +412,12 @@ def sample_batch(m: Model, keys: np.ndarray, texts: list[str], k: int, alpha: fl
             at, mask, rest, bef = at[some], mask[some], rest[some], bef[some]
             return {"at": at, "mask": mask, "before": bef, "bound": bounds(at, bef + np.log(rest), s, value[row[at]]), "edge": edge}
 
-        x = made(near)
-        if len(near) < len(new):
-            sure = np.bincount(row[x["at"]][x["bound"] > _MOST - _LEAST], minlength=rows) > k
-            far = new[(before[new] <= -_LEAST) & ~sure[erow[new]]]
+        x = made(*nodes(np.flatnonzero(is_near)))
+        sure = np.bincount(row[x["at"]][x["bound"] > _MOST - _LEAST], minlength=rows) > k
+        if not sure.all():
+            far, lat = nodes(np.flatnonzero(~(is_near | sure[erow])))
             if len(far):
-                y = made(far)
+                y = made(far, lat)
                 x = {c: np.concatenate([x[c], y[c]]) if c != "edge" else edge for c in x}
         samples.append(x)
         ids, count = words.piece[e], np.ones(len(path), np.int64)
@@ -323,9 +426,9 @@ def sample_batch(m: Model, keys: np.ndarray, texts: list[str], k: int, alpha: fl
             coded = [chr(c).encode("utf-8", "replace") for c in chars[path[lone]].tolist()]
             count[lone] = [len(b) for b in coded]
             ids = np.repeat(ids, count)
-            put = (np.cumsum(count) - count)[lone]
-            for p, b in zip(put.tolist(), coded):
-                ids[p : p + len(b)] = m.byte_id[list(b)]
+            put, many = (np.cumsum(count) - count)[lone], count[lone]
+            put = np.repeat(put - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            ids[put] = m.byte_id[np.frombuffer(b"".join(coded), np.uint8)]
         yield live, np.bincount(erow, count, rows).astype(np.int64), ids, total, value
 
 

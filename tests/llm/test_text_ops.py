@@ -324,3 +324,24 @@ def test_samples_decode_and_repeat(spark, docs):
 def test_library_round_trip(docs):
     got = {r.doc_id: r.text for r in spm_lattice.decode(spm_lattice.encode(docs)).collect()}
     assert all(got[r.doc_id] == (r.text or "").replace("▁", " ") for r in docs.collect())
+
+
+def test_equal_word_endings_share_lattice_nodes():
+    m = spm_lattice.Model(spm_lattice.default_path())
+    score = {m.sp.id_to_piece(int(i)): float(v) for i, v in zip(m.piece[1:], m.score[1:])}
+    words = ["▁station", "▁nation", "▁" + "\U00010348" * 40 + "ation", "▁" + "a" * 90, "▁é中", "▁"]
+    size = np.array([len(w) for w in words])
+    w = spm_lattice.Words(m, np.frombuffer("".join(words).encode("utf-32-le"), np.uint32), size, 1.0)
+    assert len(w.share) < w.n_ways.sum()
+    place = 0
+    for word in words:
+        beta = [0.0] * (len(word) + 1)
+        for p in reversed(range(len(word))):
+            ways = [(n, score.get(word[p : p + n], m.unknown)) for n in range(min(m.longest, len(word) - p), 0, -1) if n == 1 or word[p : p + n] in score]
+            total = [v + beta[p + n] for n, v in ways]
+            beta[p] = max(total) + np.log(np.exp(np.array(total) - max(total)).sum())
+            f, c = w.first[place + p], w.n_ways[place + p]
+            assert w.reach[f : f + c].tolist() == [n for n, _ in ways]
+            assert [x == 0 for x in w.step[f : f + c]] == [p + n == len(word) for n, _ in ways]
+            assert np.allclose(w.share[f : f + c], np.exp(np.array(total) - beta[p]), rtol=1e-9, atol=0)
+        place += len(word)
