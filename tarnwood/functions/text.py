@@ -28,8 +28,8 @@ def words(s: Column) -> Column:
 
 
 def chunks(s: Column, n: int = 2) -> Column:
-    """Consecutive pieces of n characters, the last one shorter."""
-    return F.when(F.length(s) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1)), F.lit(n)), lambda i: F.substring(s, i, F.lit(n))))
+    """Consecutive pieces of n characters, the last one shorter; one pass, since substring() counts from the text's beginning."""
+    return F.regexp_extract_all(s, F.lit(f"(?s).{{1,{n}}}"), F.lit(0))
 
 
 def ngram_distance(a: Column, b: Column, n: int = 2) -> Column:
