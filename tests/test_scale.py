@@ -1,5 +1,6 @@
 """Steps whose work must grow no faster than their input, with the same results as plain counting."""
 
+import math
 import random
 import time
 from collections import Counter
@@ -8,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tarnwood.functions import text as tf
-from tarnwood.operators import text
+from tarnwood.operators import quality, text, vectors
 
 
 def test_chunks_take_one_pass(spark):
@@ -55,3 +56,38 @@ def test_textrank_keeps_no_row_for_a_pair_of_words(spark):
         assert [x.word for x in rows] == [w for w, _ in want] and [x["rank"] for x in rows] == list(range(1, 13))
         assert all(abs(x.score - s) < 1e-9 for x, (_, s) in zip(rows, want))
     assert text.textrank_texts(texts_.filter("size(words) = 0"), 5).count() == 0
+
+
+def _brute(rows, asked, k):
+    out = set()
+    for i, q in rows:
+        if asked(i):
+            d = sorted((math.sqrt(sum((a - b) ** 2 for a, b in zip(q, v))), j) for j, v in rows if j != i)[:k]
+            out |= {(i, j, n, round(x, 9)) for n, (x, j) in enumerate(d, 1)}
+    return out
+
+
+def test_nearest_sorts_only_what_a_bound_leaves(spark):
+    r = random.Random(6)
+    rows = [(i, [float(r.randrange(6)) for _ in range(4)]) for i in range(4500)]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    near = quality.nearest(df.filter("id % 500 = 0"), df.select(F.col("id").alias("r"), F.col("v").alias("rv")), "id", "r", "v", "rv", 7)
+    assert {(x.q_id, x.r_id, x["rank"], round(x.dist, 9)) for x in near.collect()} == _brute(rows, lambda i: i % 500 == 0, 7)
+    assert "zip_with" not in near._jdf.queryExecution().optimizedPlan().toString()  # interpreted for each pair
+    odd = df.unionAll(spark.createDataFrame([(9000, [1.0]), (9001, None), (9002, [1.0, None, 2.0, 3.0])], "id long, v array<float>"))
+    got = quality.nearest(df.filter("id % 500 = 0"), odd.select(F.col("id").alias("r"), F.col("v").alias("rv")), "id", "r", "v", "rv", 3).orderBy("q_id", "rank").collect()
+    assert [(x.r_id, x.dist) for x in got[:3]] == [(9000, None), (9001, None), (9002, None)]  # no distance sorts first
+
+
+def test_pairwise_distance_streams_rows_by_the_set(spark):
+    r = random.Random(7)
+    rows = [(i, [float(r.randrange(9)) for _ in range(3)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    want = {(i, j): math.dist(v, w) for i, v in rows if i % 10 == 0 for j, w in rows if i != j}
+    made = vectors.pairwise_distance(df.filter("id % 10 = 0"), df, "id", "v")
+    got = {(x.a_id, x.b_id): x.dist for x in made.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+    odd = df.unionAll(spark.createDataFrame([(900, None)], "id long, v array<float>"))
+    assert vectors.pairwise_distance(df.filter("id % 10 = 0"), odd, "id", "v").filter("dist is null").count() == 30
+    assert vectors.pairwise_distance(df.filter("id < 0"), df, "id", "v").count() == 0
