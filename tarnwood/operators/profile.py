@@ -1,4 +1,4 @@
-"""Feature profiles: one row per numeric column from one grouped aggregate."""
+"""Feature profiles: one row per numeric column."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import math
 from statistics import NormalDist
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,18 +15,52 @@ def unpivot(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns])).alias("f")).select("f.*")
 
 
+def _moments():
+    return [F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"), F.var_samp("x").alias("var"), F.skewness("x").alias("skew"), (F.kurtosis("x") + 3).alias("kurt")]
+
+
+def moments(df: DataFrame, columns: list[str]) -> DataFrame:
+    """profile() without quartiles and mode: one grouped aggregate."""
+    return unpivot(df, columns).groupBy("feature").agg(*_moments())
+
+
 def profile(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
     """count, mean, std, min, quartiles, max, var, skew and kurt (population, normal = 3), median, mode (least on ties).
 
-    approximate: quartiles from a sketch, which bounds memory for columns of many different values."""
-    q = F.percentile_approx("x", [0.25, 0.5, 0.75], 10000) if approximate else F.percentile("x", [0.25, 0.5, 0.75])
-    out = unpivot(df, columns).groupBy("feature").agg(
-        F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), q.alias("q"), F.max("x").alias("max"),
-        F.var_samp("x").alias("var"), F.skewness("x").alias("skew"), (F.kurtosis("x") + 3).alias("kurt"), F.mode("x", True).alias("mode"),
-    )
+    Exact quartiles and the mode come from counts of different values, numbered in ranges; no task holds all values of a column.
+    approximate: quartiles from a sketch."""
+    long = unpivot(df, columns)
+    sketch = [F.percentile_approx("x", [0.25, 0.5, 0.75], 10000).alias("q")] if approximate else []
+    counts = long.filter("x is not null").groupBy("feature", "x").agg(F.count(F.lit(1)).alias("n"))
+    mode = counts.groupBy("feature").agg(F.min(F.struct((-F.col("n")).alias("n"), "x")).alias("m")).select("feature", F.col("m.x").alias("mode"))
+    out = long.groupBy("feature").agg(*_moments(), *sketch).join(F.broadcast(mode), "feature", "left")  # a row for each column
+    out = out if approximate else out.join(F.broadcast(_quartiles(counts)), "feature", "left")
     return out.select("feature", "count", "mean", "std", "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "max", "var", "skew", "kurt", "mode")
 
 
+#: Ranges of values of one feature.
+_RANGES = 256
+
+
+def _quartiles(counts: DataFrame) -> DataFrame:
+    """(feature, q) from (feature, x, n): linear between the two nearest places, as percentile(). Values are cut into ranges at
+    approximate quantiles of the different values, a few rows of counts tell what stands before each range, and each range adds
+    up its own."""
+    cuts = F.broadcast(counts.groupBy("feature").agg(F.percentile_approx("x", [i / _RANGES for i in range(1, _RANGES)], 1000).alias("cuts")))  # a row for each column
+    cut = counts.join(cuts, "feature").select("feature", "x", "n", F.size(F.filter("cuts", lambda c: c < F.col("x"))).alias("range"))
+    sums = cut.groupBy("feature", "range").agg(F.sum("n").alias("held"))  # _RANGES rows for each column
+    w = Window.partitionBy("feature").orderBy("range")
+    before = F.broadcast(sums.select("feature", "range", (F.sum("held").over(w) - F.col("held")).alias("before"), F.sum("held").over(Window.partitionBy("feature")).alias("all")))
+    inside = Window.partitionBy("feature", "range").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    places = cut.join(before, ["feature", "range"]).withColumn("upto", F.col("before") + F.sum("n").over(inside))
+    asked = places.select("feature", "x", "n", "upto", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), ((F.col("all") - 1) * p).alias("at")) for i, p in enumerate((0.25, 0.5, 0.75))])).alias("a")).select("*", "a.*")
+    on = lambda place: F.max(F.when((F.col("upto") > place) & (F.col("upto") - F.col("n") <= place), F.col("x")))
+    ends = asked.groupBy("feature", "i").agg(on(F.floor("at")).alias("lo"), on(F.ceil("at")).alias("hi"), F.max("at").alias("at"))
+    part = F.col("at") - F.floor("at")
+    value = F.when((part == 0) | (F.col("lo") == F.col("hi")), F.col("lo")).otherwise((F.ceil("at") - F.col("at")) * F.col("lo") + part * F.col("hi"))
+    return ends.select("feature", F.struct("i", value.alias("v")).alias("s")).groupBy("feature").agg(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["v"]).alias("q"))
+
+
 def verdicts(profiled: DataFrame) -> DataFrame:
     """Add skew_text (left, right or none) and peaked: kurtosis further than 2 from 3."""
     return profiled.withColumn("skew_text", F.when(F.col("skew") > 0, "right").when(F.col("skew") < 0, "left").otherwise("none")).withColumn("peaked", F.abs(F.col("kurt") - 3) > 2)

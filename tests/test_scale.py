@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tarnwood.functions import text as tf
-from tarnwood.operators import quality, text, vectors
+from tarnwood.operators import profile, quality, text, vectors
 from tarnwood.plans import texts
 
 
@@ -108,3 +108,19 @@ def test_keyword_summary_does_not_move_the_sentences_words(spark):
     plan = text.keyword_summary(spark.createDataFrame([(1, "a b. a c")], "doc_id long, text string"))._jdf.queryExecution().optimizedPlan().toString()
     left = plan[plan.index("Join LeftOuter") :].split("\n")[1]
     assert "length" in left and not re.search(r", w#|AS w#", left)
+
+
+def test_profile_gathers_no_column_in_a_task(spark):
+    r = random.Random(10)
+    rows = [(r.choice([None, float(r.randrange(900)), r.random()]), None, float(r.randrange(3))) for _ in range(3001)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    made = profile.profile(df, ["a", "b", "c"])
+    got = {x.feature: x for x in made.collect()}
+    for i, c in enumerate("ac"):
+        v = [x["abc".index(c)] for x in rows if x["abc".index(c)] is not None]
+        assert np.allclose([got[c].q1, got[c]["median"], got[c].q3], np.percentile(v, [25, 50, 75]), rtol=1e-12)
+        n = Counter(v)
+        assert got[c]["mode"] == min(x for x in n if n[x] == max(n.values()))
+    assert (got["b"]["count"], got["b"].q1, got["b"]["mode"]) == (0, None, None)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in plan and "mode(" not in plan
