@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,15 +16,17 @@ def item_frequency(baskets: DataFrame) -> DataFrame:
 
 
 def apriori(baskets: DataFrame, least_single: int = 3, confidence: float = 0.7, least_group: int = 1) -> DataFrame:
-    """(items, support, max_item, max_val, confidence): pairs and triples of frequent items by ordered self-joins on the basket;
-    confidence is support over the count of the most frequent member (the first on ties)."""
+    """(items, support, max_item, max_val, confidence): pairs and triples of frequent items made in their basket, each
+    a row with an id of its own; confidence is support over the count of the most frequent member (the first on ties)."""
     freq = item_frequency(baskets).filter(F.col("cnt") >= least_single)
-    rows = baskets.select("tid", F.explode(F.array_distinct("items")).alias("item")).join(freq, "item").select("tid", "item")
-    a, b, c = (rows.select("tid", F.col("item").alias(x)) for x in "abc")
-    pair_rows = a.join(b, "tid").filter("a < b")
-    pairs = pair_rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("support")).filter(F.col("support") >= least_group)
-    # a triple holds only pairs that are frequent themselves
-    triples = pair_rows.join(pairs.select("a", "b"), ["a", "b"]).join(c, "tid").filter("b < c").groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("support")).filter(F.col("support") >= least_group)
+    one = baskets.select(F.array_sort(F.array_distinct(F.array_compact("items"))).alias("s"))
+    after = lambda i: F.slice("s", F.col(i) + 2, F.greatest(F.size("s"), F.lit(1)))  # noqa: E731  the items that sort later
+    pair_rows = one.select("s", F.posexplode("s").alias("i", "a")).select("s", "i", "a", F.posexplode(after("i")).alias("j", "b")).withColumn("j", F.col("i") + F.col("j") + 1)
+    kept = lambda df, *cs: reduce(lambda d, c: d.join(freq.select(F.col("item").alias(c)), c, "left_semi"), cs, df)
+    count = lambda df, *cs: kept(df.groupBy(*cs).agg(F.count(F.lit(1)).alias("support")).filter(F.col("support") >= least_group), *cs)
+    pairs = count(pair_rows, "a", "b")
+    # a triple that is frequent holds only pairs that are frequent themselves
+    triples = count(pair_rows.select("a", "b", F.explode(after("j")).alias("c")), "a", "b", "c")
     sets = pairs.select(F.array("a", "b").alias("items"), "support").unionAll(triples.select(F.array("a", "b", "c").alias("items"), "support"))
     member = sets.select("items", "support", F.explode("items").alias("item")).join(freq, "item")
     top = member.groupBy("items", "support").agg(F.min(F.struct((-F.col("cnt")).alias("n"), "item")).alias("m"))

@@ -5,12 +5,13 @@ import random
 import re
 import time
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from tarnwood.functions import text as tf
-from tarnwood.operators import profile, quality, text, vectors
+from tarnwood.operators import mining, profile, quality, text, vectors
 from tarnwood.plans import texts
 
 
@@ -147,3 +148,17 @@ def test_each_different_phrase_is_read_once(spark):
     day = F.lit("2024-05-15").cast("date")
     plain = df.withColumn("f", F.get(tf.time_phrases(F.col("t")), F.lit(0))).select("i", tf.time_grade(F.col("f")), tf.phrase_time(F.col("f"), day))
     assert got == {r[0]: (r[1], r[2]) for r in plain.collect()} and got[1] == (5, "2024-5-3,7:00") and got[5] == (3, "2024-5-16,")
+
+
+def test_item_sets_are_made_in_their_basket(spark):
+    r = random.Random(12)
+    baskets = [(i, [r.choice("abcdefghij" + "klmnopqrstuvwxyz" * (i % 9 == 0)) for _ in range(r.randrange(7))]) for i in range(120)]
+    for least, group in ((3, 1), (8, 4)):
+        made = mining.apriori(spark.createDataFrame(baskets, "tid long, items array<string>"), least_single=least, confidence=0.05, least_group=group)
+        n, sets = Counter(x for _, b in baskets for x in b), Counter()
+        for _, b in baskets:
+            kept = sorted({x for x in b if n[x] >= least})
+            sets.update(c for k in (2, 3) for c in combinations(kept, k))
+        want = {(c, s, min(c, key=lambda x: (-n[x], x))) for c, s in sets.items() if s >= group and s / max(n[x] for x in c) >= 0.05}
+        assert {(tuple(x["items"]), x.support, x.max_item) for x in made.collect()} == want
+        assert "hashpartitioning(tid" not in made._jdf.queryExecution().executedPlan().toString()
